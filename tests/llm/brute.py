@@ -44,3 +44,62 @@ def suffix_dedup(docs: list[tuple[int, str | None]], k: int = 400) -> list[tuple
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((d, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return sorted(out)
+
+
+def token_files(docs, encode, end: int = 0) -> list[tuple]:
+    out, at = [], 0
+    for d, t in sorted((x for x in docs if x[0] is not None), key=lambda x: (x[0], x[1] or "")):
+        ids = [*encode(t or ""), end]
+        out.append((d, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        at += len(ids)
+    return out
+
+
+def decontamination(docs, items, size: int = 10) -> list[tuple]:
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        for j in range(max(1, len(w) - size + 1) if w else 0):
+            windows[tuple(w[j : j + size])].add(str(i))
+    sizes = {len(x) for x in windows}
+    out = []
+    for d, t in docs:
+        w, hit, found = split(t), set(), set()
+        for n in sizes:
+            for j in range(len(w) - n + 1):
+                if ids := windows.get(tuple(w[j : j + n])):
+                    hit.update(range(j, j + n))
+                    found |= ids
+        out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found)).encode()), bool(hit)))
+    return sorted(out)
+
+
+def simhash(docs) -> list[tuple]:
+    import xxhash
+
+    fps = []
+    for d, t in docs:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        fps.append((d, sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))))
+    return [(d, f"{f:016x}", c) for (d, f), c in zip(fps, components(fps, lambda a, b: (a ^ b).bit_count() <= 2))]
+
+
+def components(nodes: list[tuple], linked) -> list:
+    """Smallest id that each (id, value) can reach."""
+    root = list(range(len(nodes)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in range(len(nodes)):
+        for j in range(i):
+            if linked(nodes[i][1], nodes[j][1]):
+                root[find(i)] = find(j)
+    least: dict[int, int] = {}
+    for i, (d, _) in enumerate(nodes):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [least[find(i)] for i in range(len(nodes))]
