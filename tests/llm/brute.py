@@ -103,3 +103,44 @@ def components(nodes: list[tuple], linked) -> list:
     for i, (d, _) in enumerate(nodes):
         least[find(i)] = min(d, least.get(find(i), d))
     return [least[find(i)] for i in range(len(nodes))]
+
+
+def embeddings(rows, least: float = 0.95) -> list[tuple]:
+    import numpy as np
+
+    def ok(v):
+        return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    rows = [r for r in rows if r[0] is not None]
+    good = [(i, np.array(v, float) / np.linalg.norm(np.array(v, float))) for i, v in rows if ok(v)]
+    links = [[j for j, (_, w) in enumerate(good) if j != i and len(v) == len(w) and float(v @ w) >= least] for i, (_, v) in enumerate(good)]
+    out = [(i, 0, i, True) for i, v in rows if not ok(v)]
+    seen: set[int] = set()
+    for i in range(len(good)):
+        if i in seen:
+            continue
+        todo, group = [i], {i}
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in group:
+                    group.add(j)
+                    todo.append(j)
+        seen |= group
+        low = min(good[j][0] for j in group)
+        out += [(good[j][0], len(links[j]), low, good[j][0] == low) for j in group]
+    return sorted(out)
+
+
+def warc(pages) -> list[tuple]:
+    import base64
+
+    last: dict[bytes, int] = {}
+    for p, _, h in pages:
+        b = (h or "").encode()
+        last[b] = max(p, last.get(b, p))
+    out = []
+    for p, _, h in pages:
+        b = (h or "").encode()
+        to = last[b] if last[b] != p else None
+        out.append((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if to is None else "revisit", to))
+    return sorted(out, key=lambda r: r[0])
