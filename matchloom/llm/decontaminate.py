@@ -183,6 +183,24 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10, **limits) -> DataF
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
+    """The documents that no pattern hits; columns stay, and texts don't move."""
+    parts = docs.sparkSession.sparkContext.broadcast(item_patterns(items, size, part_bytes))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            text = pa.array([(t or "").encode() for t in batch.column(at).to_pylist()], pa.binary())
+            ids = pa.array(np.arange(batch.num_rows), pa.int64())
+            for part in range(len(parts.value)):
+                for out in scanner(parts, part)([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "b"])]):
+                    clean[[i for i, found in zip(out.column("doc_id").to_pylist(), out.column("spans").to_pylist()) if found]] = False
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def text_spans(b: bytes, spans: list) -> list[tuple[int, int]]:
     """Places in the original bytes of spans of words."""
     at = [m.span() for m in WORD.finditer(b)]

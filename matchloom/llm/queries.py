@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, packing, simhash, substring_dedup, suffix_dedup, token_files, warc
+from . import decontaminate, embedding_dedup, html_extract, language_id, packing, simhash, substring_dedup, suffix_dedup, token_files, warc
 from .common import Scratch, table
 
 
@@ -19,6 +19,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
