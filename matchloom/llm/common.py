@@ -79,6 +79,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``id, h, row``: the text's hash as in ``texts``, and all columns as one, whose names then can't clash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), row.alias("row"))
+
+
 class Rows:
     """Gathers output rows into Arrow batches of bounded size."""
 

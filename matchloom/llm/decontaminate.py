@@ -213,34 +213,34 @@ def strip_hits(docs: DataFrame, items: DataFrame, size: int = 10, part_bytes: in
     A passage goes from its first hit word to its last; the rest stays as it
     is.  A document of which no word is left goes.
     """
-    spark = docs.sparkSession
-    names = docs.columns
-    parts = spark.sparkContext.broadcast(item_patterns(items, size, part_bytes))
-    schema = docs.select(*names, F.lit(None).cast("binary").alias("k_b")).schema
+    parts = docs.sparkSession.sparkContext.broadcast(item_patterns(items, size, part_bytes))
+    at = docs.columns.index("text")
+    sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches):
         for batch in batches:
-            text = batch.column("k_b").to_pylist()
+            text = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            ids = pa.array(np.arange(len(text)), pa.int64())
             spans: dict[int, list[tuple[int, int]]] = {}
             for part in range(len(parts.value)):
-                ids = pa.array(np.arange(len(text)), pa.int64())
-                for out in scanner(parts, part)([pa.RecordBatch.from_arrays([ids, batch.column("k_b")], names=["doc_id", "b"])]):
+                for out in scanner(parts, part)([pa.RecordBatch.from_arrays([ids, pa.array(text, pa.binary())], names=["doc_id", "b"])]):
                     for i, found in zip(out.column("doc_id").to_pylist(), out.column("spans").to_pylist()):
                         if found:
                             spans.setdefault(i, []).extend(text_spans(text[i], found))
             keep = np.ones(len(text), bool)
+            new = {at: batch.column(at).to_pylist()} | ({sized: batch.column(sized).to_pylist()} if sized is not None else {})
             for i, found in spans.items():
-                left, at = [], 0
+                left, place = [], 0
                 for s, e in sorted(found):
-                    left.append(text[i][at:s]) if s > at else None
-                    at = max(at, e)
-                text[i] = b"".join((*left, text[i][at:]))
-                keep[i] = WORD.search(text[i]) is not None
-            column = pa.array([t if i in spans else None for i, t in enumerate(text)], pa.binary())
-            yield batch.set_column(batch.schema.get_field_index("k_b"), "k_b", column).filter(pa.array(keep))
-
-    out = docs.withColumn("k_b", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).mapInArrow(cut, schema)
-    out = out.withColumn("text", F.coalesce(F.col("k_b").cast("string"), "text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("k_b").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+                    left.append(text[i][place:s])
+                    place = max(place, e)
+                whole = b"".join((*left, text[i][place:]))
+                keep[i] = WORD.search(whole) is not None
+                new[at][i] = whole.decode()
+                if sized is not None:
+                    new[sized][i] = len(new[at][i])
+            for column, values in new.items():
+                batch = batch.set_column(column, batch.schema.field(column), pa.array(values, batch.schema.field(column).type))
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(cut, docs.schema)

@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, texts
+from .common import Scratch, slices, texts, whole_rows
 from .components import EDGES, Links, components, forest
 
 #: Most fingerprints in one range of Gray ranks, all of which one task holds.
@@ -288,10 +288,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     with the same id and text one stays, and of rows with the same id and
     distant texts the one with the smaller component, then text hash.
     """
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, scratch, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("k_th"))
-    joined = docs.where("doc_id is not null").join(kept.withColumnRenamed("doc_id", "k_id"), F.col("doc_id").cast("long") == F.col("k_id"))
-    joined = joined.where(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("k_th"))
-    first = Window.partitionBy("k_id").orderBy("k_th")
-    return joined.withColumn("k_n", F.row_number().over(first)).where("k_n = 1").select(*docs.columns)
+    kept = near_duplicates(docs, scratch, **options).where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.min("th").alias("th"))
+    joined = whole_rows(docs).join(kept, "id").where("h = th")
+    first = Window.partitionBy("id").orderBy("h")
+    return joined.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, Scratch, slices, texts
-from .superkmers import Words, covered, repeated_spans, spans_of
+from .common import Rows, Scratch, slices, texts, whole_rows
+from .superkmers import Words, covered, repeated_spans, spans_of, word_bounds
 
 
 def sorted_buckets(units: Words):
@@ -88,12 +88,10 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, k: int = 50, **limits) -> D
     A text that loses nothing stays as it is; of others the white space between
     kept words stays.  A document that loses all its words goes.  Columns stay.
     """
-    names = docs.columns
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("text", pa.string()), ("left", pa.int64())])
 
     def cut(batches):
-        from .superkmers import word_bounds
-
-        out = Rows(pa.schema([("k_id", pa.int64()), ("k_th", pa.int64()), ("k_text", pa.string()), ("k_left", pa.int64())]))
+        out = Rows(schema)
         for part in slices(batches):
             for doc, th, b, marks in zip(part["doc_id"], part["th"], part["b"], part["marks"]):
                 starts, ends = word_bounds(b)
@@ -110,10 +108,10 @@ def strip_repeats(docs: DataFrame, scratch: Scratch, k: int = 50, **limits) -> D
     units = Words(k, 8)
     own = texts(docs)
     marks = repeated_spans(own, units, sorted_buckets(units), True, scratch, **limits)
-    changed = own.join(marks, ["doc_id", "th"]).mapInArrow(cut, "k_id long, k_th long, k_text string, k_left long").dropDuplicates(["k_id", "k_th"])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumns({"k_id": F.col("doc_id").cast("long"), "k_th": F.xxhash64(text)}).join(changed, ["k_id", "k_th"], "left")
-    joined = joined.where("k_left is null or k_left > 0").withColumn("text", F.coalesce("k_text", "text"))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("k_text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*names)
+    changed = own.join(marks, ["doc_id", "th"]).mapInArrow(cut, "id long, h long, text string, left long").dropDuplicates(["id", "h"])
+    joined = whole_rows(docs).join(changed, ["id", "h"], "left").where("left is null or left > 0")
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.coalesce(F.col("text"), columns["text"])
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(column.alias(c) for c, column in columns.items()))

@@ -1,0 +1,260 @@
+"""Operators 2 to 5, 9 and 10, and the pipeline."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import numpy as np
+import pytest
+from conftest import CLASHING, DOCS, got
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from matchloom.llm import decontaminate, html_extract, language_id, packing, token_files, tokens, warc
+from matchloom.llm.common import Scratch
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return tokens.Encoder(tokens.default_path(), remembered=50)
+
+
+@given(st.text(st.sampled_from("ab 1'sé.\n\t  AZ,ñ😀中\x00 \r"), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_encoder_equals_library(text):
+    own = tokens.encoder(tokens.default_path())
+    assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_on_texts(encoder, pairs):
+    for _, text in pairs:
+        assert encoder.encode(text or "").tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def library(encoder):
+    return lambda text: encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files(docs, pairs, scratch, encoder):
+    assert got(token_files.round_trip(docs, scratch)) == brute.token_files(pairs, library(encoder))
+
+
+@given(st.integers(1, 20), st.integers(0, 300), st.randoms())
+@settings(max_examples=80, deadline=None)
+def test_bit_packing(bits, n, rng):
+    ids = np.array([rng.randrange(1 << bits) for _ in range(n)], "<u4")
+    data = token_files.pack(ids, bits)
+    assert token_files.unpack(data, n, bits).tolist() == ids.tolist()
+    assert len(data) == (n * bits + 7) // 8
+
+
+def test_token_file_random_access(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK", 64)
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 1 << 15, n).astype("<u4") for n in (0, 5, 64, 63, 1, 500, 0)]
+    out = token_files.Writer(f"{tmp_path}/a/x.tok", 15)
+    for i, ids in enumerate(texts):
+        out.add(i, ids)
+    out.close()
+    read = token_files.Reader(f"{tmp_path}/a/x.tok")
+    assert [(d, x.tolist()) for d, x in read.documents()] == [(i, x.tolist()) for i, x in enumerate(texts)]
+    whole = np.concatenate(texts)
+    for a, b in ((0, 1), (60, 130), (300, 633), (7, 7)):
+        assert read.ids(a, b).tolist() == whole[a:b].tolist()
+    assert read.document(5).tolist() == texts[5].tolist()
+
+
+@given(st.integers(1, 20_000), st.sampled_from([64, 100, 2048]))
+@settings(max_examples=300, deadline=None)
+def test_cuts(n, capacity):
+    parts = packing.cuts(n, capacity)
+    assert sum(x for x, _ in parts) == n
+    assert all(x * k <= capacity for x, k in parts)
+    assert all(x == capacity // k for x, k in parts[:-1])
+
+
+def test_packing(docs, pairs, scratch, encoder):
+    rows = packing.pack(docs, scratch, with_ids=True).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    total = 0
+    for doc, text in pairs:
+        ids = [*library(encoder)(text or ""), 1]
+        parts = sorted(by_doc.pop(doc), key=lambda r: r["start"])
+        assert [i for r in parts for i in r["ids"]] == ids
+        assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in parts)
+        total += len(ids)
+    assert not by_doc and sorted(by_sequence) == list(range(len(by_sequence)))
+    for parts in by_sequence.values():
+        parts.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in parts] == np.cumsum([0, *(r["length"] for r in parts)])[:-1].tolist()
+        assert sum(r["length"] for r in parts) <= packing.CAPACITY
+    assert len(by_sequence) * packing.CAPACITY <= total * 1.05 + 2 * packing.CAPACITY
+
+
+ITEMS = [
+    (1, "one two three four five six seven eight nine ten eleven"), (2, "Ten-word ITEMS: are found, whatever signs! stand (between) their words or line ends"),
+    (3, "only three words"), (4, None), (5, "..."), (6, "one two three four five six seven eight nine ten eleven"), (30, "zwölf Boxkämpfer jagen"), (None, "alpha beta"),
+]
+TEXTS = [
+    "x One two, three four five six seven eight nine ten ELEVEN y", "one two three four five six seven eight nine", "two three four five six seven eight nine ten eleven one two three",
+    "ten word items are found whatever signs stand between their words or line ends", "a only three\nwords only three words b", None, "", "?!", "ZWöLF boxkämpfer JAGEN", "alpha beta", "only three wordsy",
+]
+
+
+@pytest.mark.parametrize("part", [16 << 20, 200])
+def test_decontamination(spark, part):
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], 1, 2), (None, TEXTS[0], 1, 2)], "doc_id long, text string, row long, spans long")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    expected = brute.decontamination([*enumerate(TEXTS), (0, TEXTS[0])], [x for x in ITEMS if x[0] is not None])
+    assert got(decontaminate.report(docs, items, part_bytes=part)) == expected
+    assert sum(r[5] for r in expected) == 6
+    clean = {r["doc_id"] for r in decontaminate.keep_clean(docs.where("doc_id is not null"), items, part_bytes=part).collect()}
+    assert clean == {r[0] for r in expected if not r[5]}
+    cut = decontaminate.strip_hits(docs.where("doc_id is not null"), items, part_bytes=part)
+    again = decontaminate.report(cut, items).collect()
+    assert cut.columns == docs.columns and not any(r["contaminated"] for r in again)
+    assert {r["doc_id"]: r["text"] for r in cut.collect()}[0] == "x  y"
+
+
+def test_decontamination_of_nothing(spark):
+    docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], "item_id long, text string")
+    assert got(decontaminate.report(docs, items)) == []
+    some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert [r[:4] for r in got(decontaminate.report(some, items))] == [(1, 2, 0, 0)]
+
+
+@given(st.lists(st.text("ab é1.\x00\nÜ", max_size=20), min_size=1, max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_grams(texts):
+    grams = language_id.Grams(texts)
+    counts, letters = grams.counts(), grams.letters()
+    for i, text in enumerate(texts):
+        clean = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        expected = Counter(clean[j : j + 3] for j in range(len(clean) - 2) if clean[j + 1] != " ")
+        own = {"".join(chr(p) if p else " " for p in letters[j]): int(counts[i, j]) for j in np.flatnonzero(counts[i])}
+        assert own == dict(expected)
+
+
+def language_rows():
+    rng = random.Random(3)
+    syllables = {"aa": ["tha", "ing", "er", "on"], "bb": ["sch", "ung", "ein", "ich"], "cc": ["eau", "oi", "ment", "que"]}
+    return [(i, " ".join("".join(rng.choices(syllables[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(4, 60))), lang) for i, lang in enumerate(rng.choices(list(syllables), k=240))]
+
+
+def test_language(spark):
+    rows = language_rows()
+    extra = [(1000, None, "aa"), (1001, "", None), (1002, "12 !?", "bb"), (1003, rows[0][1], None), (None, "x", "aa")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows + extra], "doc_id long, text string, lang string, lang_pred string")
+    found = {r["doc_id"]: r for r in language_id.identify(docs, language_id.learn(docs)).collect()}
+    assert len(found) == len(rows) + 4
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert sum(found[d]["lang_pred"] == lang for d, _, lang in held) >= 0.97 * len(held) > 30
+    assert [(found[i]["lang_pred"], found[i]["score"]) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+    kept = language_id.keep_known(docs, language_id.learn(docs))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {r[0] for r in rows} and kept.count() == len(rows) + 2
+    assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
+
+
+def test_warc(spark, scratch):
+    pages = [(1, "http://a b\n", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "x"), (6, "u", "é" * 100_000), (7, "u", "a\r\n\r\nWARC/1.1\r\n")]
+    df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, refers_to string")
+    assert got(warc.round_trip(df, scratch)) == brute.warc(pages)
+    files = warc.write(df, scratch.path("again"), least=1, frame_bytes=64)
+    files = scratch.keep(files, "files-again")
+    rows = {r["page_id"]: r for r in warc.read(files, with_payload=True).collect()}
+    assert rows[3]["record_type"] == rows[4]["record_type"] == "response" and rows[1]["refers_to"] == 5
+    assert rows[7]["payload"].decode() == pages[6][2] and rows[1]["url"] == "http://a%20b%0A"
+    for r in files.collect():
+        archive = warc.Reader(r["file"])
+        for page in archive.index[:, 0].tolist():
+            headers, _ = archive.record(page)
+            assert headers["WARC-Record-ID"] == warc.record_id(page)
+    assert got(warc.round_trip(df.limit(0), Scratch(spark, "t"))) == []
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header class="site-header"><h1>Site</h1><a href=x>Home</a></header>
+<nav><ul><li><a href=a>A</a></ul></nav><div id=wrap><div class="sidebar"><p>Related stories, long text here, with commas, and more text to score well.</div>
+<div class="content"><h2>Title of story</h2><p>First  paragraph, with some length, that is long enough &amp; scored.<p>Second &lt;paragraph&gt; is here, and it is long as well, honestly.
+<ul><li>one item<li>two item</ul><div class="ad-box">Buy now, cheap, best, offers today only for you!</div><form><input><label>Mail</label></form></div>
+<div id="comments"><p>Reader one says: great article, thanks, love it, really do.</p></div></div><div class="cookie-notice">We use cookies</div><footer>(c)</footer></body></html>"""
+
+
+def test_html(spark):
+    assert html_extract.blocks(PAGE) == ["Title of story", "First paragraph, with some length, that is long enough & scored.", "Second <paragraph> is here, and it is long as well, honestly.", "one item", "two item"]
+    cases = {
+        "": [], "plain text & more": ["plain text & more"], "<p>x": ["x"], "<article><h1>Hi</h1></article>": ["Hi"], "<script>var a='</p>'": [], "a < b <a href=\"x": ["a < b"],
+        "<div><p>a<b>c</b></p><br>d<!-- x": ["ac", "d"], "<article><header><h1>T</h1><p>by me</p></header><p>Some text.</p></article>": ["T", "Some text."], "<p hidden>x</p><p>y</p>": ["y"],
+    }
+    for source, expected in cases.items():
+        assert html_extract.blocks(source) == expected
+    deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
+    assert html_extract.blocks(deep) == ["deep text"]
+    df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "<p>z", "x")], "page_id long, url string, html string, text string")
+    rows = got(html_extract.extract(df))
+    assert [(r[0], r[3]) for r in rows] == [(1, 161), (2, 0), (None, 1)] or [len(r[2]) for r in rows] == [r[3] for r in rows]
+    assert rows[1][1:] == (None, "", 0)
+
+
+@given(st.text("<>/p divbr\"'=!-&;aх", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_html_never_fails(source):
+    html_extract.blocks(source)
+
+
+def test_pipeline(spark, tmp_path):
+    """All five stages against plain versions on a fixture with every kind of case."""
+    import corpus_pipeline
+
+    from matchloom.llm import simhash
+
+    rng = random.Random(9)
+    base = language_rows()
+    long_ = [" ".join(rng.choices([w for r in base for w in r[1].split()], k=150)) for _ in range(30)]
+    passage = " ".join(long_[0].split()[40:110])
+    texts = [r[1] for r in base[:60]] + long_ + [long_[3]] * 4 + [f"{passage} {t}" for t in long_[10:14]]
+    texts += [f"{" ".join(rng.sample(long_[20].split(), 40))} one two three four five six seven eight nine ten eleven", None, "", "12", long_[5].replace(" ", "  ", 1)]
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame([(*r, 7) for r in rows], DOCS + ", th long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = got(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens"))
+
+    own = {r[0]: r[1] for r in rows if any(c.isalpha() for c in r[1] or "")}
+    fps = [(d, simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5), 4)) for d, t in own.items()]
+    near = lambda a, b: np.bitwise_count(a ^ b).sum() <= 45 and bool((np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32)) <= 3).any())
+    first = set(brute.components(fps, near))
+    own = {d: t for d, t in own.items() if d in first}
+    lowest: dict[tuple, int] = {}
+    for d, t in own.items():
+        w = t.split()
+        for i in range(len(w) - 49):
+            lowest[tuple(w[i : i + 50])] = min(d, lowest.get(tuple(w[i : i + 50]), d))
+    cut = {}
+    for d, t in own.items():
+        w = t.split()
+        gone = {j for i in range(len(w) - 49) if lowest[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+        if len(gone) < len(w):
+            # A removed word takes the white space after it.
+            import re
+
+            cut[d] = "".join(x for j, x in enumerate(re.findall(r"^\s*|\S+\s*", t)[1:]) if j not in gone) if gone else t
+    dirty = {r[0] for r in brute.decontamination(list(cut.items()), [x for x in ITEMS if x[0] is not None]) if r[5]}
+    assert dirty
+    expected = []
+    code = tokens.Encoder(tokens.default_path())
+    for d, t in cut.items():
+        if d in dirty:
+            continue
+        ids, at = np.append(code.encode(t), 1).astype("<u4"), 0
+        for length, _ in packing.cuts(len(ids)):
+            expected.append((d, at, length, zlib.crc32(ids[at : at + length].tobytes()), len(ids)))
+            at += length
+    assert found == sorted(expected, key=lambda r: (r[0], str(r)))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "substring_dedup", "decontamination", "packing"]
+    assert CLASHING
