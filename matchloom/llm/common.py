@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import plain_unions
+
 #: Python output is sent back to the JVM once a batch holds about this much.
 FLUSH_BYTES = 4 << 20
 
@@ -42,6 +44,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        plain_unions(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
