@@ -45,8 +45,8 @@ def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
         parts = []
         for size in range(low, high + 1):
             every = windows(padded, n, size)
-            # Longer grams than the word: the padded word itself, at the first size beyond it only.
-            parts.append(F.when(n >= size, every).when(n == size - 1 if size > low else n < size, F.array(padded)).otherwise(F.array().cast("array<string>")))
+            # The size that the padded word reaches gives the word itself, and longer sizes nothing more.
+            parts.append(F.when(n >= size, every).otherwise(F.array().cast("array<string>")))
         return F.flatten(F.array(*parts))
 
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")

@@ -22,14 +22,11 @@ SAMPLE = 200_000
 
 
 def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
-    """Grams of each word between single spaces; a shorter word gives itself once per text size that holds it."""
+    """Grams of each word between single spaces; sizes beyond the padded word give nothing more."""
     out = []
     for word in text.lower().split():
         padded = f" {word} "
         for n in range(low, high + 1):
-            if len(padded) <= n:
-                out.append(padded)
-                break
             out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
     return out
 

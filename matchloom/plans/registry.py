@@ -205,7 +205,7 @@ def ternary_slots(spark, sf_dir):
 
 _GRAMS_SQL = """p AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, unnest(list_filter(regexp_split_to_array(lower(p_name), '\\s+'), lambda x: x <> '')) AS word FROM p),
 padded AS (SELECT p_name, ' ' || word || ' ' AS x FROM w), sized AS (SELECT p_name, x, unnest([2, 3, 4]) AS n FROM padded),
-g AS (SELECT p_name, unnest(list_transform(range(1, greatest(length(x) - n + 1, 1) + 1), lambda i: x[i:i + n - 1])) AS gram FROM sized WHERE length(x) >= n OR length(x) = n - 1),
+g AS (SELECT p_name, unnest(list_transform(range(1, greatest(length(x) - n + 1, 1) + 1), lambda i: x[i:i + n - 1])) AS gram FROM sized WHERE length(x) >= n),
 tf AS (SELECT p_name AS id, gram, count(*) AS tf FROM g GROUP BY 1, 2)"""
 
 
