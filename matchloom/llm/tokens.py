@@ -60,7 +60,7 @@ class Encoder:
     texts.
     """
 
-    def __init__(self, path: str, remembered: int = 60_000):
+    def __init__(self, path: str, remembered: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
