@@ -130,6 +130,7 @@ def token_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
-def ocr_form(text: Column) -> Column:
-    """A form that letters and look-alikes share."""
+def ocr_form(text: Column, double_v: bool = False) -> Column:
+    """A form that letters and look-alikes share; ``double_v``: two v are a w first."""
+    text = F.replace(text, F.lit("vv"), F.lit("w")) if double_v else text
     return F.replace(F.translate(text, "10v", "lou"), F.lit("rn"), F.lit("m"))

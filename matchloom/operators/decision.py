@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,25 +83,65 @@ def grid(spark) -> DataFrame:
     return spark.createDataFrame(points, "point int, tau_singleton double, tau_match double, delta_prob double")
 
 
+def _fbeta_array(tp: np.ndarray, predicted: np.ndarray, true: np.ndarray, beta: float) -> np.ndarray:
+    b2 = beta * beta
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p, r = tp / predicted, tp / true
+        f = np.where(tp > 0, (1 + b2) * p * r / (b2 * p + r), 0.0)
+    return np.where((true == 0) & (predicted == 0), 1.0, f)
+
+
+def _grid_sums(beta: float):
+    """Sums of F-beta at all points over the entities of a task.
+
+    What an entity's pairs do at a match threshold and a distance doesn't depend
+    on the singleton threshold, which only decides whether they count at all.
+    """
+    singleton, match, delta = (np.array(x) for x in (fixed.TAU_SINGLETON, fixed.TAU_MATCH, fixed.DELTA_PROB))
+    allowed = [(i, j, k) for i, ts in enumerate(singleton) for j, tm in enumerate(match) for k in range(len(delta)) if tm <= ts]
+
+    def run(batches):
+        sums, n = np.zeros((len(singleton), len(match), len(delta))), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                true = batch.column("n_true").to_numpy(zero_copy_only=False).astype(float)
+                prob, label = (batch.column(c) for c in ("p", "y"))
+                size = pc.fill_null(pc.list_value_length(prob), 0).to_numpy(zero_copy_only=False)
+                n += len(true)
+                bare = _fbeta_array(np.zeros(len(true)), np.zeros(len(true)), true, beta)
+                own = np.flatnonzero(size)
+                sums += bare[size == 0].sum()
+                if not len(own):
+                    continue
+                p, y = prob.flatten().to_numpy().astype(float), label.flatten().to_numpy().astype(float)
+                starts = np.cumsum(size[own]) - size[own]
+                best = np.maximum.reduceat(p, starts)
+                passed = (p[:, None, None] >= match[:, None]) & ((np.repeat(best, size[own]) - p)[:, None, None] <= delta)
+                predicted = np.add.reduceat(passed.astype(float), starts, axis=0)
+                tp = np.add.reduceat(passed * y[:, None, None], starts, axis=0)
+                f = _fbeta_array(tp, predicted, true[own][:, None, None], beta)
+                for i, ts in enumerate(singleton):
+                    over = best >= ts
+                    sums[i] += f[over].sum(axis=0) + bare[own][~over].sum()
+        points = [sums[place] for place in allowed]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(points)), pa.int32()), pa.array(points, pa.float64()), pa.array([n] * len(points), pa.int64())], names=["point", "f", "n"])
+
+    return run
+
+
 def grid_scores(scored: DataFrame, entities: DataFrame, beta: float = BETA, digits: int = 12) -> DataFrame:
     """``point, tau_singleton, tau_match, delta_prob, score`` of every point of the grid.
 
-    An entity's candidates come together once, as an array of at most the cap;
-    an entity is then scored at all points in one pass, and only sums per point
-    are shuffled.
+    An entity's candidates come together once, as arrays of at most the cap; a
+    task then emits one sum per point, and nothing else is shuffled.
     """
-    spark = scored.sparkSession
-    per_entity = scored.groupBy("s1_id").agg(F.collect_list(F.struct("prob", "label")).alias("c"), F.max("prob").alias("best"))
-    joined = entities.select("s1_id", "n_true").join(per_entity, "s1_id", "left")
-    # Entities that no point selects anything for score the same everywhere.
-    points = F.broadcast(grid(spark))
-    pairs = joined.withColumn("one", F.lit(1)).join(points.withColumn("one", F.lit(1)), "one")
-    passed = F.filter("c", lambda x: gate(F.col("best"), x["prob"], F.col("tau_singleton"), F.col("tau_match"), F.col("delta_prob")))
-    predicted = F.coalesce(F.size(passed), F.lit(0))
-    predicted = F.when(F.col("c").isNull(), 0).otherwise(predicted)
-    tp = F.when(F.col("c").isNull(), 0).otherwise(F.aggregate(passed, F.lit(0), lambda n, x: n + x["label"].cast("int")))
-    scores = pairs.withColumn("f", fbeta(tp, predicted, F.col("n_true"), beta))
-    return scores.groupBy("point", "tau_singleton", "tau_match", "delta_prob").agg(F.round(F.avg("f"), digits).alias("score"))
+    lists = scored.groupBy("s1_id").agg(F.collect_list(F.struct("prob", "label")).alias("c"))
+    joined = entities.select("s1_id", "n_true").join(lists, "s1_id", "left")
+    columns = joined.select(F.col("n_true").cast("double").alias("n_true"), F.col("c.prob").alias("p"), F.transform("c.label", lambda y: y.cast("double")).alias("y"))
+    sums = columns.mapInArrow(_grid_sums(beta), "point int, f double, n long").groupBy("point").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    points = F.broadcast(grid(scored.sparkSession))
+    return sums.join(points, "point").select("point", "tau_singleton", "tau_match", "delta_prob", F.round(F.when(F.col("n") > 0, F.col("f") / F.col("n")).otherwise(0.0), digits).alias("score"))
 
 
 def best_thresholds(scored: DataFrame, entities: DataFrame, beta: float = BETA) -> DataFrame:

@@ -23,6 +23,10 @@ ALIGNED = "view string, word string, target string, n long, seen long"
 _ALIGNED = pa.schema([("view", pa.string()), ("word", pa.string()), ("target", pa.string()), ("n", pa.int64()), ("seen", pa.int64())])
 
 
+#: Marks hold no digits, which folding may change.
+_DIGITS = str.maketrans("0123456789", "bdfghjkmnp")
+
+
 class _Marks:
     """Stands in for the lexicon and gives each Indic word a mark that survives folding."""
 
@@ -30,8 +34,7 @@ class _Marks:
         self.words: dict[str, str] = {}
 
     def get(self, word: str) -> str:
-        number = "".join(chr(97 + int(d)) for d in str(len(self.words)))
-        mark = f"qx{number}xq"
+        mark = f"qx{len(self.words):06d}xq".translate(_DIGITS)
         self.words[mark] = word
         return mark
 

@@ -562,12 +562,12 @@ def cross_source_triangulation(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT DISTINCT 'q' || item_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS word FROM benchmark),
-d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS word FROM documents WHERE lang = 'en'),
+d AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS word FROM documents),
 rare AS (SELECT word FROM d GROUP BY 1 HAVING count(*) <= 1500), h AS (SELECT d.id AS s1_id, q.id AS pool_id, count(*) AS hits FROM q JOIN d USING (word) JOIN rare USING (word) GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY hits DESC, s1_id) AS rank FROM h) WHERE rank <= 50""")
 def inverted_index_blocking(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("country"), "text")
-    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("id"), F.lit("en").alias("country"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("all").alias("country"), "text")
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), "item_id").alias("id"), F.lit("all").alias("country"), "text")
     return blocking.inverted_index(docs, items).withColumn("rank", F.col("rank").cast("long"))
 
 
