@@ -20,6 +20,8 @@ from ..session import plain_unions
 #: Rows of a block of entities and of queries; a product of the two is 64 MB of doubles.
 BLOCK = 4096
 QUERY_BLOCK = 2048
+#: Queries that one task takes to a block of entities.
+QUERIES = 1 << 17
 
 _HITS = pa.schema([("pool_id", pa.string()), ("s1_id", pa.string()), ("score", pa.float64())])
 
@@ -70,22 +72,23 @@ def topk_join(s1: DataFrame, pool: DataFrame, k: int, blank: str = "as_coded", b
     without a partition.
     """
     plain_unions(s1.sparkSession)
-    sizes = s1.groupBy("part").agg(F.count("*").alias("n")).select("part", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    # A row per partition (states and regions): a few hundred.
-    cells = sizes.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    dealt = s1.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     known = pool if blank == "as_coded" else pool.where("part <> ''")
-    asked = known.select("id", "part", "v").join(cells, "part")
-    rest = pool.join(sizes.select("part"), "part", "left_anti")
+    parts = s1.groupBy("part").agg(F.count("*").alias("n"))
+    rest = pool.join(parts, "part", "left_anti")
     if blank != "as_coded":
-        rest = rest.unionByName(pool.where("part = ''").join(sizes.select("part"), "part", "left_semi"))
-    everywhere = _to_all_cells(rest, cells)
-    asked = asked.unionByName(everywhere)
-    # Queries of a cell are split once more, so a hot partition's queries don't meet in one task.
-    spread = F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")
-    left = dealt.select("id", "part", "b", "v").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(7))))
+        rest = rest.unionByName(pool.where("part = ''").join(parts, "part", "left_semi"))
+    # A row per partition (states and regions: a few hundred): its blocks, and how often its queries are
+    # split so that a hot partition's don't meet in one task.
+    asked = parts.join(known.groupBy("part").agg(F.count("*").alias("own")), "part", "left").join(F.broadcast(rest.agg(F.count("*").alias("rest"))), how="cross")
+    share = F.greatest(F.ceil((F.coalesce("own", F.lit(0)) + F.col("rest")) / QUERIES), F.lit(1)).cast("int")
+    sizes = asked.select("part", F.ceil(F.col("n") / block).cast("int").alias("blocks"), share.alias("shares"))
+    cells = sizes.select("part", "shares", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    dealt = s1.join(sizes, "part").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    queries = known.select("id", "part", "v").join(cells, "part").select("id", "part", "v", "shares", "b").unionByName(_to_all_cells(rest, cells))
+    left = dealt.select("id", "part", "b", "v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"))
     left = left.select(F.concat_ws("|", "part", "b", "s").alias("cell"), F.lit(0).alias("side"), "id", F.col("v").cast("array<double>").alias("v"))
-    right = asked.select(F.concat_ws("|", "part", "b", spread).alias("cell"), F.lit(1).alias("side"), "id", F.col("v").cast("array<double>").alias("v"))
+    spread = F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")
+    right = queries.select(F.concat_ws("|", "part", "b", spread).alias("cell"), F.lit(1).alias("side"), "id", F.col("v").cast("array<double>").alias("v"))
     both = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "side")
     hits = both.mapInArrow(_blocks(k, digits), "pool_id string, s1_id string, score double")
     by = Window.partitionBy("pool_id").orderBy(F.desc("score"), "s1_id")
@@ -94,8 +97,9 @@ def topk_join(s1: DataFrame, pool: DataFrame, k: int, blank: str = "as_coded", b
 
 def _to_all_cells(queries: DataFrame, cells: DataFrame) -> DataFrame:
     """Each query with every cell: the cells, a few per partition, travel as one array."""
-    every = cells.agg(F.collect_list(F.struct("part", "b")).alias("cells")).withColumn("one", F.lit(1))
-    return queries.select("id", "v").withColumn("one", F.lit(1)).join(F.broadcast(every), "one").select("id", "v", F.explode("cells").alias("cell")).select("id", "cell.part", "v", "cell.b")
+    every = F.broadcast(cells.agg(F.collect_list(F.struct("part", "shares", "b")).alias("cells")))
+    found = queries.select("id", "v").join(every, how="cross").select("id", "v", F.explode("cells").alias("cell"))
+    return found.select("id", "cell.part", "v", "cell.shares", "cell.b")
 
 
 def topk_join_sql(s1: DataFrame, pool: DataFrame, k: int, digits: int = 9) -> DataFrame:
