@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, html_extract, language_id, packing, simhash, substring_dedup, suffix_dedup, token_files, warc
 from .common import Scratch, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and callable(query)
 }
-ORACLE_SQL: dict[str, str] = {}
