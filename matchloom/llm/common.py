@@ -35,6 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch than Spark's default: rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
+
+
 class Scratch:
     """Intermediate tables and files under the shared folder.
 
@@ -45,6 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         plain_unions(spark)
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)

@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices, texts, whole_rows
 from .components import EDGES, Links, components, forest
+from .tokens import release
 
 #: Most fingerprints in one range of Gray ranks, all of which one task holds.
 GROUP = 1 << 20
 FANOUT = 8
+#: Pairs of query and node that one step of a search expands.
+FRONTIER = 1 << 14
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -103,10 +106,15 @@ class GrayIndex:
         With the queries' labels ``own`` and the nodes' labels ``below``, groups
         that lie in the query's own component as a whole are left out too.
         """
-        which = np.arange(len(queries))
-        node = np.zeros(len(queries), np.int64)
-        differences = np.zeros(len(queries), np.uint8)
-        for depth, (mask, value) in enumerate(self.levels):
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [(0, np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.uint8))]
+        while todo:
+            depth, which, node, differences = todo.pop()
+            if len(which) > FRONTIER:  # depth first from here: memory is bounded whatever the radius
+                half = len(which) // 2
+                todo += [(depth, which[:half], node[:half], differences[:half]), (depth, which[half:], node[half:], differences[half:])]
+                continue
+            mask, value = self.levels[depth]
             if depth:
                 which, differences = np.repeat(which, FANOUT), np.repeat(differences, FANOUT)
                 node = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -118,7 +126,13 @@ class GrayIndex:
             if own is not None:
                 near &= below[depth][node] != own[which]
             which, node, differences = which[near], node[near], differences[near]
-        return which, node
+            if depth + 1 == len(self.levels):
+                found.append((which, node))
+            elif len(which):
+                todo.append((depth + 1, which, node, differences))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([q for q, _ in found]), np.concatenate([c for _, c in found])
 
 
 def fingerprints(docs: DataFrame, scratch: Scratch, shingle: int, words: int = 1) -> DataFrame:
@@ -126,6 +140,7 @@ def fingerprints(docs: DataFrame, scratch: Scratch, shingle: int, words: int = 1
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def scan(batches):
+        release()
         for part in slices(batches):
             fps = [fingerprint(shingle_hashes(b, shingle), words).view(np.int64).tolist() for b in part["b"]]
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["th"], pa.int64()), pa.array(fps, schema[2].type)], schema=schema)
@@ -191,8 +206,8 @@ class _Range:
     def ask(self, code: np.ndarray, node: np.ndarray, fp: np.ndarray) -> None:
         if self.index is None:
             self.build()
-        for at in range(0, len(code), 512):
-            q, c = self.index.search(code[at : at + 512], self.radius)
+        for at in range(0, len(code), 128):
+            q, c = self.index.search(code[at : at + 128], self.radius)
             q, c = self.near(q + at, c, fp)
             self.found.add(node[q], self.node[c])
 
@@ -240,7 +255,8 @@ def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch, words: int, b
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.arange(len(at)) >= len(own)), *taken.columns], schema=_ROUTED)
 
     def search(batches):
-        found, at, now = Links(), None, None
+        release()
+        found, at, now = Links(1 << 18), None, None
         for batch in batches:
             ats, query = batch.column("at").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
             columns = (batch.column("code").to_numpy().view(np.uint64), batch.column("node").to_numpy(), _matrix(batch.column("fp"), carried))

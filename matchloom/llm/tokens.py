@@ -124,6 +124,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Python workers live on after a task; one that turns to another operator gives the pieces' memory back."""
+    _ENCODERS.clear()
+
+
 def default_path() -> str:
     import public_tokenizers
 
