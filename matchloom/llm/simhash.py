@@ -297,14 +297,14 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 5, words:
     return own.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
+def keep_one(docs: DataFrame, scratch: Scratch, near=near_duplicates, **options) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest doc_id stays.
 
     Rows that repeat a doc_id are copies too if their texts are near; of rows
     with the same id and text one stays, and of rows with the same id and
     distant texts the one with the smaller component, then text hash.
     """
-    kept = near_duplicates(docs, scratch, **options).where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.min("th").alias("th"))
+    kept = near(docs, scratch, **options).where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.min("th").alias("th"))
     joined = whole_rows(docs).join(kept, "id").where("h = th")
     first = Window.partitionBy("id").orderBy("h")
     return joined.withColumn("n", F.row_number().over(first)).where("n = 1").select("row.*")
