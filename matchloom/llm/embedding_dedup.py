@@ -2,7 +2,12 @@
 
 In each pass every vector gets a string of random hyperplane bits; vectors are
 ordered by it lexicographically and each is compared with a bounded window of
-neighbours.  Verified pairs of all passes are united to components.  Since every
+neighbours, and in blocks with all that share the first bits of its string where
+they are more than the window holds.  The number of passes follows from the number
+of vectors, so that a linked pair shares those bits in no pass with probability
+``MISS`` at most, however dense its surroundings; where that would take more
+comparisons, all pairs are compared instead.  Verified pairs of all passes are
+united to components.  Since every
 link lies within a component, the links of each member are then counted exactly
 against the whole component: most follow from angles to its centre alone, the
 others are compared in blocks.
@@ -20,6 +25,8 @@ rows; other columns (labels too) are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +35,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import EDGES, Links, components
 
+#: At least so many passes.
 PASSES, WINDOW, BITS = 16, 64, 60
+#: Most chance of a linked pair to be met in no pass.
+MISS = 1e-4
 #: Components of more nodes are compared in blocks of about so many.
 CHUNK = 2048
 #: Angles are trusted beyond this margin only; nearer ones are compared.
@@ -60,9 +70,69 @@ def _compare(ids: np.ndarray, vectors: np.ndarray, window: int, least: float, li
         links.add(ids[i[near] + low], ids[j[near] + at])
 
 
-def passes(nodes: DataFrame, scratch: Scratch, name: str, dimensions: int, least: float, n_passes: int, window: int, seed: int) -> DataFrame:
-    """Links ``a, b`` as stars between nodes (``node, v``)."""
+def plan(n: int, least: float, window: int) -> tuple[int, int]:
+    """First bits that about half a window of ``n`` vectors share, and the passes needed to share them once."""
+    depth = min(BITS, max(0, math.ceil(math.log2(max(1, 2 * n / window)))))
+    found = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** depth
+    needed = math.log(MISS) / math.log1p(-found) if 0 < found < 1 else (math.inf if found <= 0 else 1)
+    return depth, max(PASSES, math.ceil(min(needed, n)))
+
+
+def _block_links(least: float, dimensions: int):
+    """Rows sorted by (pass, run, low, high, side): links of side 0 with side 1, or within side 0 where low is high."""
+
+    def run(batches):
+        links, key, parts = Links(), None, ([], [])
+
+        def finish():
+            if key is None or not parts[0]:
+                return
+            node, v = (np.concatenate(x) for x in zip(*parts[0]))
+            if key[2] != key[3] and not parts[1]:
+                return
+            other, w = (node, v) if key[2] == key[3] else (np.concatenate(x) for x in zip(*parts[1]))
+            for at in range(0, len(node), 512):
+                i, j = np.nonzero(v[at : at + 512] @ w.T >= least)
+                a, b = node[at : at + 512][i], other[j]
+                links.add(a[a != b], b[a != b])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("pass", "run", "low", "high", "side")]
+            node, v = batch.column("node").to_numpy(), unit(_vectors(batch.column("v"), dimensions).astype(np.float64))
+            change = np.any([np.diff(c) != 0 for c in columns], axis=0)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(node)]
+            for i, j in zip(cuts, cuts[1:]):
+                now = tuple(int(c[i]) for c in columns[:4])
+                if now != key:
+                    finish()
+                    key, parts = now, ([], [])
+                parts[int(columns[4][i])].append((node[i:j], v[i:j]))
+        finish()
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in links.fold()], schema=EDGES)
+
+    return run
+
+
+def compare_runs(rows: DataFrame, dimensions: int, least: float) -> DataFrame:
+    """All links ``a, b`` within runs; ``pass, run, size, node, v``, a run's ``size`` its rows. Long runs are met block by block."""
+    blocks = F.ceil(F.col("size") / CHUNK)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("pass", "run", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "v")
+    by = ["pass", "run", "low", "high"]
+    return dealt.repartition(*by).sortWithinPartitions(*by, "side").mapInArrow(_block_links(least, dimensions), "a long, b long")
+
+
+def passes(nodes: DataFrame, scratch: Scratch, name: str, dimensions: int, least: float, n_passes: int | None, window: int, seed: int) -> DataFrame:
+    """Links ``a, b`` as stars between nodes (``node, v``); given ``n_passes``, as many passes, whatever ``plan`` says."""
     spark = nodes.sparkSession
+    n = nodes.count()
+    depth, needed = plan(n, least, window)
+    whole = nodes.select(F.lit(0).alias("pass"), F.lit(0).cast("long").alias("run"), F.lit(n).cast("long").alias("size"), "node", "v")
+    if n_passes is None and needed * window >= n:
+        return compare_runs(whole, dimensions, least)
+    n_passes = n_passes or needed
     element = nodes.schema["v"].dataType.elementType.simpleString()
     kind = pa.list_(pa.float32() if element == "float" else pa.float64())
     planes = np.random.default_rng([seed, dimensions]).standard_normal((dimensions, n_passes * BITS))
@@ -78,7 +148,18 @@ def passes(nodes: DataFrame, scratch: Scratch, name: str, dimensions: int, least
             for p in range(n_passes):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, p, np.int32)), pa.array(keys[:, p]), batch.column("node"), batch.column("v").cast(kind)], schema=keyed_schema)
 
-    n = nodes.count()
+    def keys(batches):
+        for batch in keyed(batches):
+            yield batch.select(["pass", "key", "node"])
+
+    at = scratch.keep(nodes.mapInArrow(keys, "pass int, key long, node long").select("pass", F.shiftright("key", BITS - depth).alias("run"), "node"), f"keys-{name}")
+    # Shorter runs are within the window as a whole.
+    long = at.groupBy("pass", "run").agg(F.count("*").alias("size")).where(F.col("size") > window + 1)
+    long = scratch.keep(long, f"runs-{name}")
+    if (long.agg(F.sum(F.col("size").cast("double") ** 2)).first()[0] or 0) > float(n) ** 2:
+        return compare_runs(whole, dimensions, least)
+    crowded = compare_runs(at.join(long, ["pass", "run"]).join(nodes.select("node", "v"), "node"), dimensions, least)
+
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n * n_passes // (16 * window)))
     ordered = nodes.mapInArrow(keyed, f"pass int, key long, node long, v array<{element}>")
     ordered = ordered.repartitionByRange(parts, "pass", "key", "node").sortWithinPartitions("pass", "key", "node").withColumn("part", F.spark_partition_id())
@@ -145,7 +226,7 @@ def passes(nodes: DataFrame, scratch: Scratch, name: str, dimensions: int, least
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in links.fold()], schema=EDGES)
 
     over = seams.repartition(parts, "pass", "seam").sortWithinPartitions("pass", "seam", "after", "place").mapInArrow(seam, "a long, b long")
-    return inside.where("a is not null").select("a", "b").unionByName(over)
+    return inside.where("a is not null").select("a", "b").unionByName(over).unionByName(crowded)
 
 
 _COUNTED = pa.schema([("component", pa.int64()), ("node", pa.int64()), ("links", pa.int64())])
@@ -229,7 +310,8 @@ def _angles(members: DataFrame, dimensions: int) -> DataFrame:
 def count_links(members: DataFrame, scratch: Scratch, name: str, dimensions: int, least: float, chunk: int = CHUNK) -> DataFrame:
     """Exact ``node, links`` of ``component, node, v, copies``: linked rows other than the node's own copies."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    sized = members.join(sizes, "component")
+    # Kept: a repartition by the key of a join right below is left out of the plan, and adaptive execution may then read the join's shuffle in another order.
+    sized = scratch.keep(members.join(sizes, "component"), f"sized-{name}")
     small = sized.where(F.col("size") <= chunk).select("component", F.lit(-1).cast("long").alias("pair"), F.lit(0).alias("side"), "node", "v", "copies")
     shape = "component long, node long, links long"
     counted = small.repartition("component").sortWithinPartitions("component").mapInArrow(_counter(least, dimensions), shape).select("node", "links")
@@ -259,7 +341,7 @@ def count_links(members: DataFrame, scratch: Scratch, name: str, dimensions: int
     return counted.unionByName(both)
 
 
-def dedup(rows: DataFrame, scratch: Scratch, least: float = 0.95, n_passes: int = PASSES, window: int = WINDOW, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
+def dedup(rows: DataFrame, scratch: Scratch, least: float = 0.95, n_passes: int | None = None, window: int = WINDOW, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of all rows of ``vec_id, embedding``."""
     own = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), valid().alias("valid"))
     nodes = own.where("valid").groupBy("v").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("copies"))
