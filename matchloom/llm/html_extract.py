@@ -148,8 +148,8 @@ def _attributes(node: Node) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(node.attrs)} if node.attrs else {}
 
 
-def _marks(node: Node) -> tuple[bool, bool]:
-    """Whether the element is boilerplate for sure, and whether it likely is."""
+def _marks(node: Node, wraps: bool = False) -> tuple[bool, bool]:
+    """Whether the element is boilerplate for sure, and whether it likely is; words say nothing sure of one that ``wraps`` the page's text."""
     tag = node.tag
     if tag in DROPPED:
         return True, True
@@ -166,7 +166,7 @@ def _marks(node: Node) -> tuple[bool, bool]:
         return True, True
     words = {w.lower() for w in _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     if words & MARKED or any(w.startswith(_PREFIXES) and w not in LIKELY for w in words):
-        return True, True
+        return not wraps, True
     return False, tag == "header" or bool(words & LIKELY)
 
 
@@ -195,6 +195,16 @@ def _measure(root: Node) -> None:
 
 def _prune(root: Node) -> None:
     total = max(1, root.size)
+    lead = next((x for x in _walk(root) if x.tag in ("article", "main")), None)
+    related, at = {id(x) for x in _walk(lead)} if lead else set(), lead
+    while at is not None:
+        related.add(id(at))
+        at = at.parent
+
+    def wraps(node: Node) -> bool:
+        """Half of the page or more, and not beside its article: has-navbar, comments-open and the like."""
+        return 2 * node.size >= total and (lead is None or id(node) in related)
+
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -203,7 +213,7 @@ def _prune(root: Node) -> None:
             if isinstance(child, str):
                 kept.append(child)
                 continue
-            sure, likely = _marks(child)
+            sure, likely = _marks(child, wraps(child))
             if sure or (likely and 2 * child.size < total and not (inside and child.tag == "header")):
                 continue
             if inside and child.tag == "header":
