@@ -582,7 +582,17 @@ _SAMPLES = [
 
 @query()
 def name_address_parse(spark, sf_dir):
-    return normalize_records(spark.createDataFrame(_SAMPLES, "entity_id string, business_name string, business_address string, country string"))
+    """All customers and suppliers, with endings, states and countries dealt to them, and samples of the scripts."""
+    shape = "entity_id string, business_name string, business_address string, country string"
+    rows = spark.createDataFrame(_SAMPLES, shape)
+    deal = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+    for table, at in (("customer", "c"), ("supplier", "s")):
+        key, nation = f"{at}_{table[:4]}key", f"{at}_nationkey"
+        own = read(spark, sf_dir, table)
+        name = F.concat_ws(" ", f"{at}_name", deal(_ENDINGS, key))
+        address = F.concat_ws(", ", F.concat_ws(" ", F.col(key).cast("string"), F.lit("Main Road")), deal(_STATES, nation))
+        rows = rows.unionByName(own.select(F.concat(F.lit(f"{at}-"), F.col(key).cast("string")).alias("entity_id"), name.alias("business_name"), address.alias("business_address"), deal(["US", "India", "France"], nation).alias("country")))
+    return normalize_records(rows)
 
 
 @query()
