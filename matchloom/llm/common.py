@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -97,6 +98,25 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"), row.alias("row"))
 
 
+_WORKER: dict[str, object] = {}
+
+
+def kept_in_worker(name: str, make):
+    """What a Python worker keeps between tasks: one thing at a time, so that the next operator finds the memory free."""
+    if name not in _WORKER:
+        fresh_worker()
+        _WORKER[name] = make()
+    return _WORKER[name]
+
+
+def fresh_worker() -> None:
+    """Python workers live on after a task; this gives back what the tasks before have left."""
+    _WORKER.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than under glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Rows:
     """Gathers output rows into Arrow batches of bounded size."""
 

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, slices
-from .tokens import release
+from .common import Rows, fresh_worker, slices
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
@@ -111,7 +110,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
     """One unit vector per language from ``text, lang``; a row per language and dimension is all that the driver sees."""
 
     def bundle(batches):
-        release()
+        fresh_worker()
         sums: dict[str, np.ndarray] = {}
         for rows in slices(batches, 512):
             for group in _groups(rows):
@@ -170,7 +169,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int =
     predict = predictor(learned, dimensions)
 
     def run(batches):
-        release()
+        fresh_worker()
         out = Rows(_PREDICTED)
         for rows in slices(batches, 512):
             for doc, (lang, score) in zip(rows["k_id"], predict(rows["text"])):
@@ -198,7 +197,7 @@ def keep_known(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int
     at = docs.columns.index("text")
 
     def run(batches):
-        release()
+        fresh_worker()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

@@ -57,9 +57,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, tail: in
     def run(batches):
         code, out, numbers = encoder(tokenizer), Rows(_PIECES), {}
         end = np.array([end_id], "<u4")
-        for rows in slices(batches, 128):
-            for doc, text in zip(rows["doc_id"], rows["text"]):
-                ids = np.concatenate((code.encode(text), end))
+        for rows in slices(batches, 1024):
+            for doc, ids in zip(rows["doc_id"], code.encode_rows(rows["text"])):
+                ids = np.concatenate((ids, end))
                 start = 0
                 for length, k in cuts(len(ids), capacity, tail):
                     piece = ids[start : start + length]

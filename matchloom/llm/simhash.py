@@ -23,9 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, texts, whole_rows
+from .common import Scratch, fresh_worker, slices, texts, whole_rows
 from .components import EDGES, Links, components, forest
-from .tokens import release
 
 #: Most fingerprints in one range of Gray ranks, all of which one task holds.
 GROUP = 1 << 20
@@ -140,7 +139,7 @@ def fingerprints(docs: DataFrame, scratch: Scratch, shingle: int, words: int = 1
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def scan(batches):
-        release()
+        fresh_worker()
         for part in slices(batches):
             fps = [fingerprint(shingle_hashes(b, shingle), words).view(np.int64).tolist() for b in part["b"]]
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["th"], pa.int64()), pa.array(fps, schema[2].type)], schema=schema)
@@ -255,7 +254,7 @@ def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch, words: int, b
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.arange(len(at)) >= len(own)), *taken.columns], schema=_ROUTED)
 
     def search(batches):
-        release()
+        fresh_worker()
         found, at, now = Links(1 << 18), None, None
         for batch in batches:
             ats, query = batch.column("at").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, Scratch, slices
-from .tokens import release
+from .common import Rows, Scratch, fresh_worker, slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -163,7 +162,7 @@ def _occurrences(units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     schema = pa.schema([("mini", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int32())])
 
     def scan(batches):
-        release()
+        fresh_worker()
         for part in (group for part in slices(batches) for group in grouped(part)):
             minis, ids, hashes, counts = [], [], [], []
             for doc, th, (found, _, _) in zip(part["doc_id"], part["th"], runs(units, part["b"])):

@@ -14,6 +14,11 @@ Any block unpacks by itself with a few numpy operations, so a range of ids is
 read from the blocks that hold it.  One task writes one file; its name comes
 from its place in the order, and it is renamed into place when complete, so a
 repeated task writes the same file again.
+
+Defined cases: a null or empty text has the end id only; rows without a doc_id
+are left out; rows that repeat a doc_id each have their ids, in the order of
+their texts; an empty table writes no file and gives no rows; other columns are
+ignored; a very long text is a document like any other.
 """
 
 from __future__ import annotations
@@ -177,11 +182,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, partiti
         code = encoder(tokenizer)
         end = np.array([end_id], "<u4")
         part, out = TaskContext.get().partitionId(), None
-        for rows in slices(batches, 128):
+        for rows in slices(batches, 1024):
             if out is None:
                 out = Writer(f"{folder}/part-{part:06d}.tok", width(max(code.vocabulary, end_id + 1)))
-            for doc, text in zip(rows["doc_id"], rows["text"]):
-                out.add(doc, np.concatenate((code.encode(text), end)))
+            for doc, ids in zip(rows["doc_id"], code.encode_rows(rows["text"])):
+                out.add(doc, np.concatenate((ids, end)))
         if out is not None:
             total = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, f"{folder}/part-{part:06d}.tok", len(out.docs), total), schema)], schema=schema)

@@ -2,39 +2,51 @@
 
 Byte-level BPE splits a text into pieces before it merges, and a single space
 or newline between two other characters always starts a new piece.  So a text
-is cut there (only where no two white-space characters meet); what lies between
-is split by the same rule as the tokenizer's, and the tokenizers library's model
-merges each piece once, for as long as the piece is remembered.  Texts that this
-rule doesn't cover go to the library as a whole.
+is cut there, what lies between is split by the same rule as the tokenizer's,
+and the tokenizers library's model merges each piece once, for as long as the
+piece is remembered.  Texts that this rule doesn't cover, and those that hold
+the string of an added token, go to the library as a whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-_PAIRED = re.compile(r"\s\s")
+from .common import kept_in_worker
+
+#: Longer words and pieces aren't remembered.
+LONGEST = 64
 #: The pieces of byte-level BPE.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Beyond Latin letters, versions of Unicode may differ on what a letter is.
-_BEYOND = re.compile("[^\x00-\u024f]")
+#: Beyond Latin letters, versions of Unicode may differ on what a letter is; on control characters, on what a space is.
+_BEYOND = re.compile("[^\t\n\r -~\xa1-ɏ]")
+
+#: Words with a space (any that Python knows) at an end, and empty ones.
+_SPACES = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_EDGE = rf"^$|^{_SPACES}|{_SPACES}\z"
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> str:
     """Byte-level BPE writes each byte as one printable character; others are numbered from 256."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in printable]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(rest)) for b in range(256))
 
 
 _LETTERS = _byte_letters()
+_SPACE = _LETTERS[0x20]
 
 
 class _Memory(dict):
-    """Ids by text; what isn't used for a whole generation is forgotten."""
+    """Ids by text, as far as ``make`` puts them in; what isn't used for a whole generation is forgotten."""
 
     def __init__(self, make):
         self.make, self.older = make, {}
@@ -42,7 +54,7 @@ class _Memory(dict):
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
-            ids = self.make(text)
+            return self.make(text)
         self[text] = ids
         return ids
 
@@ -55,78 +67,122 @@ class _Memory(dict):
 class Encoder:
     """Encodes texts as the tokenizers library does with ``add_special_tokens=False``.
 
-    The strings of special tokens count as ordinary text.  A tokenizer whose
-    pieces don't follow byte-level BPE's rule (``by_piece`` false) encodes whole
-    texts.
+    A tokenizer whose pieces don't follow byte-level BPE's rule (``by_piece``
+    false) encodes whole texts.  ``remembered`` words are kept, and as many of
+    the generation before them.
     """
 
-    def __init__(self, path: str, remembered: int = 120_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         kind = type(self.tokenizer.pre_tokenizer).__name__ if self.tokenizer.pre_tokenizer else ""
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
         self.remembered = remembered
-        self.pieces = _Memory(self._piece)
-        self.first, self.spaced = _Memory(self._run), _Memory(lambda text: self._run(f" {text}"))
+        #: By piece; by what stands between two spaces, for the run with the space before it.
+        self.pieces, self.words = _Memory(self._piece), _Memory(self._word)
+        self.ids = [i.to_bytes(4, "little") for i in range(self.vocabulary)]
         self.newline = self._whole("\n").tobytes()
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _merge(self, letters: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model.tokenize(letters)])
+
+    def _word(self, word: str) -> bytes:
+        """A space and what stands between it and the next cut."""
+        if not word.isascii() and _BEYOND.search(word):
+            return self._kept(word, self._whole(f" {word}").tobytes())
+        if word.isalpha():
+            letters = word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", _LETTERS)[0]
+            return self._kept(word, self._merge(_SPACE + letters))
+        # Most others are a word and one sign.
+        if word[:-1].isalpha() and (last := word[-1]) > " " and not last.isalnum():
+            return self._kept(word, self.words[word[:-1]] + self.pieces[last])
+        head, *lines = word.split("\n")
+        if lines and head and "" not in lines and not any(x[-1].isspace() or x[0].isspace() for x in (head, *lines)):
+            return b"".join((self.words[head], *(x for line in lines for x in (self.newline, self._run(line)))))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(f" {word}")))
+
+    def _kept(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST:
+            self.words[word] = ids
+        return ids
+
     def _run(self, text: str) -> bytes:
-        """What lies between two cuts."""
-        pieces = self.pieces
-        if text.isascii():
-            # Most are a word with at most one sign after it.
-            word = text[1:] if text[0] == " " else text
-            if word.isalpha():
-                return pieces[text]
-            if word[:-1].isalpha() and not word[-1].isalnum() and word[-1] > " ":
-                return pieces[text[:-1]] + pieces[word[-1]]
-        elif _BEYOND.search(text):
+        """A text without a cut before it."""
+        if _BEYOND.search(text):
             return self._whole(text).tobytes()
-        return b"".join(map(pieces.__getitem__, _PIECE.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
     def _piece(self, text: str) -> bytes:
-        letters = f"\u0120{text[1:]}" if text[0] == " " and text[1:].isalpha() and text.isascii() else text.encode().decode("latin-1").translate(_LETTERS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+        ids = self._merge(codecs.charmap_decode(text.encode(), "strict", _LETTERS)[0])
+        if len(text) <= LONGEST:
+            self.pieces[text] = ids
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.by_piece or _PAIRED.search(text):
-            return self._whole(text)
-        out = []
-        spaced, first, newline = self.spaced.__getitem__, self.first, self.newline
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(newline)
-            start, *rest = line.split(" ")
-            if start:
-                out.append(first[start])
-            out.extend(map(spaced, rest))
-        self.first.turn(self.remembered)
-        self.spaced.turn(self.remembered)
-        self.pieces.turn(4 * self.remembered)
-        return np.frombuffer(b"".join(out), "<u4")
-
-
-_ENCODERS: dict[str, Encoder] = {}
+        return self.encode_all([text])[0]
+
+    def encode_rows(self, texts: list[str], at_once: int = 1 << 22) -> Iterator[np.ndarray]:
+        """The same for any number of texts, about ``at_once`` characters at a time."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text)
+            held += len(text)
+            if held >= at_once:
+                yield from self.encode_all(group)
+                group, held = [], 0
+        yield from self.encode_all(group)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; equal words of all texts are looked up once."""
+        if not texts:
+            return []
+        whole = np.array([not self.by_piece or self.added(t) is not None for t in texts])
+        split = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole.tolist(), texts)], pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        codes, first = words.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()[:-1]
+        starts = words.dictionary.take(words.indices.take(pa.array(first))).to_pylist()
+        # A cut is only one between characters that are no space.
+        spaced = pc.match_substring_regex(words.dictionary, _EDGE).to_numpy(zero_copy_only=False)
+        unsure = spaced[codes]
+        unsure[first] = [x[-1:].isspace() for x in starts]
+        unsure = np.add.reduceat(unsure, first) > 0
+        codes[first] = len(spaced) + np.arange(len(first))
+        used = np.bincount(codes, minlength=len(spaced))[: len(spaced)] > 0
+        sure = np.flatnonzero(used & ~spaced)
+        entries = list(map(self.words.__getitem__, words.dictionary.take(pa.array(sure)).to_pylist()))
+        entries += [b"" if u else self._run(x) for u, x in zip((unsure | whole).tolist(), starts)]
+        self.words.turn(self.remembered)
+        self.pieces.turn(self.remembered)
+
+        sizes = np.zeros(len(spaced) + len(first), np.int32)
+        sizes[sure] = np.fromiter(map(len, entries), np.int32, len(sure))
+        sizes[len(spaced) :] = list(map(len, entries[len(sure) :]))
+        ends = np.cumsum(sizes)
+        values = np.frombuffer(b"".join(entries), np.uint8)
+        own = sizes[codes]
+        at = np.repeat(((ends - sizes)[codes] - (np.cumsum(own, dtype=np.int64) - own)) // 4, own // 4)
+        at += np.arange(len(at))
+        ids = values.view("<u4")[at]
+        out = np.split(ids, np.cumsum(np.add.reduceat(own, first, dtype=np.int64) // 4)[:-1])
+        for i in np.flatnonzero(unsure | whole).tolist():
+            text = texts[i]
+            out[i] = self._whole(text) if whole[i] or _BEYOND.search(text) else np.frombuffer(self._run(text), "<u4")
+        return out
 
 
 def encoder(path: str) -> Encoder:
-    """One for each path in a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
-def release() -> None:
-    """Python workers live on after a task; one that turns to another operator gives the pieces' memory back."""
-    _ENCODERS.clear()
+    """One for each path in a Python worker, for as long as the worker encodes."""
+    return kept_in_worker(f"encoder {path}", lambda: Encoder(path))
 
 
 def default_path() -> str:

@@ -32,7 +32,7 @@ def rows():
         own = words(rng, 60 + 10 * i)
         texts.append(" ".join(own[:30]) + "\n" + " ".join(passage[i:]) + "\t" + " ".join(own[30:]))
     texts += [" ".join(words(rng, n)) for n in (1, 2, 3, 49, 50, 51, 120, 3000)]
-    texts += ["x " * 400, "x " * 130 + "y", "ab" * 700, None, "", "  \n ", "12 34 !?", "a", "Ünïcödé " * 60]
+    texts += ["x " * 400, "x " * 130 + "y", "ab" * 700, None, "", "  \n ", "12 34 !?", "a", "Ünïcödé " * 60, "ends <|endoftext|> and goes on", "two  spaces\n\nand lines"]
     return [(i * 3, t, "en", "s", len(t) if t else 0) for i, t in enumerate(texts)]
 
 

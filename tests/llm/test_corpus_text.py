@@ -76,7 +76,7 @@ def test_cuts(n, capacity):
     assert all(x == capacity // k for x, k in parts[:-1])
 
 
-def test_packing(docs, pairs, scratch, encoder):
+def test_packing(docs, pairs, scratch, library):
     rows = packing.pack(docs, scratch, with_ids=True).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -84,7 +84,7 @@ def test_packing(docs, pairs, scratch, encoder):
         by_sequence[r["sequence_id"]].append(r)
     total = 0
     for doc, text in pairs:
-        ids = [*library(encoder)(text or ""), 1]
+        ids = [*library(text or ""), 1]
         parts = sorted(by_doc.pop(doc), key=lambda r: r["start"])
         assert [i for r in parts for i in r["ids"]] == ids
         assert all(r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in parts)
@@ -95,6 +95,7 @@ def test_packing(docs, pairs, scratch, encoder):
         assert [r["offset"] for r in parts] == np.cumsum([0, *(r["length"] for r in parts)])[:-1].tolist()
         assert sum(r["length"] for r in parts) <= packing.CAPACITY
     assert len(by_sequence) * packing.CAPACITY <= total * 1.05 + 2 * packing.CAPACITY
+    assert got(packing.pack(docs.limit(0), Scratch(docs.sparkSession, "t"))) == []
 
 
 ITEMS = [
