@@ -33,8 +33,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op6"), shingle=3, words=1, bits=64, radius=2, most=None)
-    digits = F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0")
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op6"), shingle=3, radius=2)
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 

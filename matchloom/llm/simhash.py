@@ -6,9 +6,14 @@ it share (a mask and their values), less those its parent has already.  A query
 walks down from the root, adds the differences in each node's bits to those so
 far, and leaves out a whole group once they exceed the radius.
 
-The top of the index, one mask and value per range of Gray ranks, is a table
-of at most a row per ``GROUP`` fingerprints; fingerprints are sent as queries
-only to later ranges that it can't rule out.  Equal fingerprints count as one.
+Fingerprints are cut into ``radius + 2`` blocks of bits.  Two that link agree in
+two blocks at least, so each is filed once for every two blocks, with their bits
+moved to the front: fingerprints that agree there (a shared pattern) stand
+together in Gray order, and only they are searched.  The number of rows follows
+the number of fingerprints, whatever the size of the table.  Ranges of that
+order are tasks; where a pattern runs on over ranges, its fingerprints are sent
+as queries to the next ones, unless what a range has in common rules them out.
+Equal fingerprints count as one.
 
 Defined cases: a text without words (or null) has fingerprint zero and links
 like any other; rows without a doc_id are left out; rows that repeat a doc_id
@@ -17,16 +22,18 @@ are one node; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh_worker, slices, texts, whole_rows
 from .components import EDGES, Links, components, forest
 
-#: Most fingerprints in one range of Gray ranks, all of which one task holds.
+#: About the most rows in one range of the order, all of which one task holds.
 GROUP = 1 << 20
 FANOUT = 8
 #: Pairs of query and node that one step of a search expands.
@@ -56,17 +63,12 @@ def shingle_hashes(b: bytes, size: int) -> np.ndarray:
     return np.array([digest(joined[i:j], 42) for i, j in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """``words`` 64-bit words of majority bits; those after the first come from remixed hashes."""
-    out = np.zeros(words, np.uint64)
-    for i in range(words if len(hashes) else 0):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 1 << 14):
-            counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        out[i] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
-        hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
-        hashes ^= hashes >> np.uint64(29)
-    return out
+def fingerprint(hashes: np.ndarray) -> int:
+    """64 majority bits, as a signed number."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        counts += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 class GrayIndex:
@@ -134,139 +136,139 @@ class GrayIndex:
         return np.concatenate([q for q, _ in found]), np.concatenate([c for _, c in found])
 
 
-def fingerprints(docs: DataFrame, scratch: Scratch, shingle: int, words: int = 1) -> DataFrame:
-    """``doc_id, th, fp`` of all documents; ``fp`` an array of ``words`` longs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.list_(pa.int64()))])
+def fingerprints(docs: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
+    """``doc_id, th, fp`` of all documents."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("fp", pa.int64())])
 
     def scan(batches):
         fresh_worker()
         for part in slices(batches):
-            fps = [fingerprint(shingle_hashes(b, shingle), words).view(np.int64).tolist() for b in part["b"]]
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["th"], pa.int64()), pa.array(fps, schema[2].type)], schema=schema)
-
-    return scratch.keep(texts(docs).mapInArrow(scan, "doc_id long, th long, fp array<long>"), "fingerprints")
-
-
-def _views(fp: str, words: int, bits: int):
-    """The codes of a fingerprint: whole words, or parts of ``bits`` bits in the high places."""
-    out = []
-    for w in range(words):
-        word = F.element_at(F.col(fp), w + 1)
-        for at in range(0, 64, bits):
-            code = F.shiftleft(word, at)
-            out.append(code if bits == 64 else code.bitwiseAND(F.lit(-1 << (64 - bits))))
-    return F.array(*out)
-
-
-_ROUTED = pa.schema([("at", pa.int32()), ("query", pa.bool_()), ("code", pa.int64()), ("node", pa.int64()), ("fp", pa.list_(pa.int64()))])
-
-
-def _matrix(column: pa.Array, words: int) -> np.ndarray:
-    return column.flatten().to_numpy().view(np.uint64).reshape(-1, words) if words else np.empty((len(column), 0), np.uint64)
+            fps = [fingerprint(shingle_hashes(b, shingle)) for b in part["b"]]
+            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["th"], pa.int64()), pa.array(fps, pa.int64())], schema=schema)
+
+    return scratch.keep(texts(docs).mapInArrow(scan, "doc_id long, th long, fp long"), "fingerprints")
+
+
+def arrangements(code: Column, radius: int) -> tuple[list[Column], list[int]]:
+    """The code with each two of its ``radius + 2`` blocks moved to the front, and the number of bits in front."""
+    n = radius + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    codes, fronts = [], []
+    for front in combinations(range(n), 2):
+        order = [*front, *(i for i in range(n) if i not in front)]
+        out, at = F.lit(0).cast("long"), 64
+        for i in order:
+            size = edges[i + 1] - edges[i]
+            at -= size
+            block = F.shiftrightunsigned(F.shiftleft(code, edges[i]), 64 - size)
+            out = out.bitwiseOR(F.shiftleft(block, at))
+        codes.append(out)
+        fronts.append(sum(edges[i + 1] - edges[i] for i in front))
+    return codes, fronts
 
 
 class _Range:
-    """One range of the index: takes its members, then the queries sent to it, and links what is near."""
+    """One range of the order: takes its members, then the queries sent to it, and links what is near."""
 
-    def __init__(self, radius: int, most: int | None, found: Links):
-        self.radius, self.most, self.found = radius, most, found
+    def __init__(self, radius: int, shift: np.uint64, first: np.uint64, found: Links):
+        """``first``: the pattern (a code shifted by ``shift``) that queries of ranges before may have."""
+        self.radius, self.shift, self.first, self.found = radius, shift, first, found
         self.parts: list[tuple] = []
         self.index = None
 
     def build(self) -> None:
-        code, node, fp = (np.concatenate(x) for x in zip(*self.parts))
+        code, node = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
         by = np.argsort(gray_rank(code), kind="stable")
-        code, self.node, self.fp = code[by], node[by], fp[by]
+        code, node = code[by], node[by]
+        # What stands alone with its pattern links with nothing here, but may with queries.
+        pattern = code >> self.shift
+        same = pattern[1:] == pattern[:-1]
+        some = np.append(False, same) | np.append(same, False) | (pattern == self.first)
+        code, self.node = code[some], node[some]
         self.index = GrayIndex(code)
         label = np.arange(len(code))
         at, size = 0, 64
         while at < len(code):
             asked = slice(at, at + size)
             q, c = self.index.search(code[asked], self.radius, label[asked], self.index.uniform(label))
-            q, c = self.near(q + at, c, self.fp)
             if len(q):
-                below, root = forest(label[q], label[c])
+                below, root = forest(label[q + at], label[c])
                 to = np.arange(len(code))
                 to[below] = root
                 label = to[label]
             at, size = at + size, min(2 * size, 2048)
         self.found.add(self.node, self.node[label])
 
-    def near(self, q: np.ndarray, c: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.most is None or not len(q):
-            return q, c
-        kept = []
-        for at in range(0, len(q), 1 << 16):
-            i, j = q[at : at + (1 << 16)], c[at : at + (1 << 16)]
-            kept.append(np.bitwise_count(fp[i] ^ self.fp[j]).sum(axis=1, dtype=np.int32) <= self.most)
-        kept = np.concatenate(kept)
-        return q[kept], c[kept]
-
-    def ask(self, code: np.ndarray, node: np.ndarray, fp: np.ndarray) -> None:
+    def ask(self, code: np.ndarray, node: np.ndarray) -> None:
+        """A query has few members near it, as they are distinct and differ in so few bits."""
         if self.index is None:
             self.build()
         for at in range(0, len(code), 128):
             q, c = self.index.search(code[at : at + 128], self.radius)
-            q, c = self.near(q + at, c, fp)
-            self.found.add(node[q], self.node[c])
-
+            self.found.add(node[q + at], self.node[c])
 
-def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch, words: int, bits: int, radius: int, most: int | None) -> DataFrame:
-    """Links between nodes (``node, fp``) as stars ``a, b``, which keep the components.
 
-    Nodes link if, in any view (part of ``bits`` bits), their codes differ in at
-    most ``radius`` bits and, where ``most`` is given, their whole fingerprints
-    in at most ``most``.
-    """
-    views = words * (64 // bits)
-    carried = words if most is not None else 0
-    codes = nodes.select("node", F.posexplode(_views("fp", words, bits)).alias("view", "code"), F.col("fp") if carried else F.array().cast("array<long>").alias("fp"))
+def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """Links between nodes (``node, fp``; distinct fingerprints) that differ in at most ``radius`` bits, as stars ``a, b``, which keep the components."""
+    arranged, fronts = arrangements(F.col("fp"), radius)
+    views = len(arranged)
+    codes = nodes.select("node", F.posexplode(F.array(*arranged)).alias("view", "code"))
     n = nodes.count()
-    each = max(-(-n // GROUP), min(-(-n // 4096), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // views)))
+    parts = max(1, -(-n * views // GROUP), min(-(-n * views // 4096), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rank = F.col("code")
     for shift in (1, 2, 4, 8, 16, 32):
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, shift))
-    # Signed order puts ranks with the top bit first; any order that keeps ranges whole will do.
-    dealt = codes.repartitionByRange(max(1, each * views), "view", rank).withColumn("part", F.spark_partition_id())
-    dealt = scratch.keep(dealt.select(F.concat_ws("-", "view", "part").alias("range"), "view", "code", "node", "fp"), "ranges")
-    # A row per range: bounded by the number of ranges, one per GROUP codes or per shuffle partition.
-    top = dealt.groupBy("view", "range").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some")).collect()
-    top.sort(key=lambda r: r["range"])
-    place = {r["range"]: i for i, r in enumerate(top)}
-    every = np.array([r["every"] for r in top], np.int64).view(np.uint64)
-    shared = ~(every ^ np.array([r["some"] for r in top], np.int64).view(np.uint64))
-    view_of = np.array([r["view"] for r in top])
+    # Signed order puts ranks with the top bit first; any order that keeps patterns together will do.
+    ordered = codes.repartitionByRange(parts, "view", rank).withColumn("part", F.spark_partition_id())
+    dealt = scratch.keep(ordered.select("part", "view", "code", "node"), "ranges")
+    # A row per part of the order and arrangement, so bounded by both.  Ranks order patterns, so a part's
+    # first and last patterns are those of its least and greatest rank.
+    ends = [f(F.struct(rank.alias("rank"), "code"))["code"] for f in (F.min, F.max)]
+    top = dealt.groupBy("view", "part").agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some"), ends[0].alias("first"), ends[1].alias("last")).collect()
+    top.sort(key=lambda r: (r["view"], r["part"]))
+    places = np.array([(r["view"] << 32) + r["part"] for r in top], np.int64)
+    whole = lambda name: np.array([r[name] for r in top], np.int64).view(np.uint64)
+    every, front = whole("every"), np.array([64 - fronts[r["view"]] for r in top], np.uint64)
+    shared = ~(every ^ whole("some"))
+    first, last = whole("first") >> front, whole("last") >> front
+    # How far a range's last pattern runs on.
+    until = np.arange(len(top))
+    for i in range(len(top) - 2, -1, -1):
+        if top[i]["view"] == top[i + 1]["view"] and last[i] == first[i + 1]:
+            until[i] = until[i + 1] if first[i + 1] == last[i + 1] else i + 1
 
     def route(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.array([place[x] for x in batch.column("range").to_pylist()], np.int32)
-            asked = batch.column("code").to_numpy().view(np.uint64)
+            own = np.searchsorted(places, (batch.column("view").to_numpy().astype(np.int64) << 32) + batch.column("part").to_numpy())
+            code = batch.column("code").to_numpy().view(np.uint64)
             ats, rows = [own], [np.arange(len(own))]
-            for i in range(int(own.min()) + 1, len(every)):
-                far = np.bitwise_count((asked ^ every[i]) & shared[i])
-                hit = np.flatnonzero((far <= radius) & (own < i) & (view_of[own] == view_of[i]))
-                ats.append(np.full(len(hit), i, np.int32))
-                rows.append(hit)
+            on = np.flatnonzero((until[own] > own) & ((code >> front[own]) == last[own]))
+            ahead = own[on] + 1
+            while len(on):
+                near = np.bitwise_count((code[on] ^ every[ahead]) & shared[ahead]) <= radius
+                ats.append(ahead[near])
+                rows.append(on[near])
+                more = ahead < until[own[on]]
+                on, ahead = on[more], ahead[more] + 1
             at, row = np.concatenate(ats), np.concatenate(rows)
-            taken = batch.select(["code", "node", "fp"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.arange(len(at)) >= len(own)), *taken.columns], schema=_ROUTED)
+            taken = batch.select(["code", "node"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.arange(len(at)) >= len(own)), *taken.columns], names=["at", "query", "code", "node"])
 
     def search(batches):
         fresh_worker()
         found, at, now = Links(1 << 18), None, None
         for batch in batches:
             ats, query = batch.column("at").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
-            columns = (batch.column("code").to_numpy().view(np.uint64), batch.column("node").to_numpy(), _matrix(batch.column("fp"), carried))
-            cuts = [0, *(np.flatnonzero(np.diff(ats.astype(np.int64) * 2 + query)) + 1).tolist(), len(ats)]
+            columns = (batch.column("code").to_numpy().view(np.uint64), batch.column("node").to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(ats * 2 + query)) + 1).tolist(), len(ats)]
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
                 if ats[i] != at:
                     if now and now.index is None:
                         now.build()
-                    at, now = ats[i], _Range(radius, most, found)
+                    at, now = ats[i], _Range(radius, front[ats[i]], first[ats[i]], found)
                 rows = tuple(x[i:j] for x in columns)
                 if query[i]:
                     now.ask(*rows)
@@ -276,22 +278,17 @@ def links(spark: SparkSession, nodes: DataFrame, scratch: Scratch, words: int, b
             now.build()
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.fold()], schema=EDGES)
 
-    routed = dealt.mapInArrow(route, "at int, query boolean, code long, node long, fp array<long>")
+    routed = dealt.mapInArrow(route, "at long, query boolean, code long, node long")
     routed = routed.repartition(max(1, len(top)), "at").sortWithinPartitions("at", "query")
     return routed.mapInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 5, words: int = 4, bits: int = 32, radius: int = 3, most: int | None = 45) -> DataFrame:
-    """``doc_id, th, fp, component_id`` of all documents; the component's id is its smallest doc_id.
-
-    By default 256 bits of five-word shingles in eight views: documents link if
-    at most 45 of all bits differ, an angle for which two sets of shingles share
-    0.8 of their union or, within the estimate's error, little less.
-    """
+def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """``doc_id, th, fp, component_id`` of all documents; the component's id is its smallest doc_id."""
     spark = docs.sparkSession
-    own = fingerprints(docs, scratch, shingle, words)
+    own = fingerprints(docs, scratch, shingle)
     nodes = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = scratch.keep(components(links(spark, nodes, scratch, words, bits, radius, most), scratch), "found")
+    found = scratch.keep(components(links(spark, nodes, scratch, radius), scratch), "found")
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return own.join(classes, "fp").select("doc_id", "th", "fp", "component_id")
 

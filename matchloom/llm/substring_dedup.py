@@ -32,7 +32,7 @@ def sorted_buckets(units: Words):
         for bucket in block:
             if len(bucket) < 2:
                 continue
-            windows = [(w, first, row, i) for row, (_, packed, first) in enumerate(bucket) for i, w in enumerate(units.windows(packed))]
+            windows = [(w, first, row, i) for row, (_, packed, first, *_) in enumerate(bucket) for i, w in enumerate(units.windows(packed))]
             windows.sort(key=itemgetter(0, 1))
             hits: dict[int, list[int]] = {}
             for _, same in groupby(windows, key=itemgetter(0)):

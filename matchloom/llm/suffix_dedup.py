@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Rows, Scratch, slices, texts
-from .superkmers import Bytes, covered, repeated_spans, spans_of
+from .superkmers import Bytes, covered, groups, repeated_spans, spans_of
 
 #: Stands between the strings of a block; bytes are 0 to 255 and the end of the block sorts below all.
 GAP = 256
@@ -100,30 +100,67 @@ def shared_at_least(s: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     return ~known[:n]
 
 
+def _candidates(bucket: list, units: Bytes, size: int) -> list[tuple[bytes, int, bytes, bool]]:
+    """(digest, first window, string, whether it occurs twice) of what may repeat in a bucket.
+
+    Windows that start equally far before the minimiser, give or take ``size``,
+    share a core around it; a core that stands once rules its windows out.
+    """
+    cores: dict[tuple, int] = {}
+    own = []
+    for digest, packed, _, n, at in bucket:
+        parts = [(first, last, (j, packed[start : end + units.k])) for j, first, last, start, end in groups(len(packed) - units.k + 1, at, size)]
+        own.append((digest, packed, n > 1, parts))
+        for *_, core in parts:
+            cores[core] = cores.get(core, 0) + min(n, 2)
+    out = []
+    for digest, packed, twice, parts in own:
+        if twice:
+            out.append((digest, 0, packed, True))
+            continue
+        begun = until = None
+        for first, last, core in parts:
+            if cores[core] < 2:
+                continue
+            if until is not None and first != until + 1:
+                out.append((digest, begun, packed[begun : until + units.k], False))
+                begun = None
+            begun, until = first if begun is None else begun, last
+        if until is not None:
+            out.append((digest, begun, packed[begun : until + units.k], False))
+    return out
+
+
 def interval_expansion(units: Bytes):
-    """Where windows start that repeat among the strings of a block."""
+    """Where windows start that repeat among the strings of a block.
+
+    A string that occurs more than once stands in the block's text twice, so its repeats are found like any other.
+    """
+    size = max(1, (units.k - units.m + 1) // 4)
 
     def solve(block):
-        strings = [(digest, packed) for bucket in block if len(bucket) > 1 for digest, packed, _ in bucket]
+        strings = [x for bucket in block for x in (_candidates(bucket, units, size) if len(bucket) > 1 or bucket[0][3] > 1 else ())]
         if not strings:
             return
         parts, starts, at = [], [], 0
-        for _, packed in strings:
-            part = np.full(len(packed) + 1, GAP, np.int64)
-            part[:-1] = np.frombuffer(packed, np.uint8)
-            parts.append(part)
+        gap = np.array([GAP], np.int32)
+        for _, _, packed, twice in strings:
+            part = np.frombuffer(packed, np.uint8).astype(np.int32)
             starts.append(at)
-            at += len(part)
-        s = np.concatenate((*parts, [-1])) + 1  # below 2**31 symbols: a block is bounded
+            parts += [part, gap, part, gap] if twice else [part, gap]
+            at += (len(part) + 1) * (1 + twice)
+        s = np.concatenate((*parts, np.array([-1], np.int32))) + 1  # below 2**31 symbols: a block is bounded
         order = suffix_order(s, units.k + 1)
         same = shared_at_least(s, order, units.k)
         repeats = np.zeros(len(s), bool)
         repeats[order[same]] = True
         repeats[order[np.flatnonzero(same) - 1]] = True
-        for (digest, packed), at in zip(strings, starts):
+        found: dict[bytes, list] = {}
+        for (digest, first, packed, _), at in zip(strings, starts):
             flags = repeats[at : at + len(packed) - units.k + 1]
             if flags.any():
-                yield digest, spans_of(flags)
+                found.setdefault(digest, []).extend({"s": x["s"] + first, "e": x["e"] + first} for x in spans_of(flags))
+        yield from found.items()
 
     return solve
 

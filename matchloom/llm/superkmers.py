@@ -8,11 +8,17 @@ the minimiser at the same place form a super-k-mer.  It follows that
 * two equal windows always come to the same bucket (one bucket a minimiser), and
 * a super-k-mer never holds the same window twice.
 
-``repeated_spans`` finds the windows that repeat in three rounds, each of which
-leaves far less for the next: minimisers that occur once rule their windows
-out; equal super-k-mers are pre-aggregated to one row; only buckets that still
-hold different strings are opened.  Buckets over ``hot_bytes`` are never
-gathered: their windows are counted one by one by a partial aggregation.
+``repeated_spans`` finds the windows that repeat in rounds, each of which leaves
+far less for the next: minimisers that occur once rule their windows out; equal
+super-k-mers are pre-aggregated to one row with their number; buckets that may
+hold a repeat are gathered and solved.
+
+A bucket over ``hot_bytes`` isn't gathered.  It is dealt again to smaller ones:
+its windows are grouped by how far before the minimiser they start, all windows
+of a group contain the same stretch around it (the group's core), and equal
+windows have equal cores.  So each string is cut into one string per group, with
+the core as its bucket's key.  Groups get narrower with every round, until a
+core is the window itself; the method of the buckets stays the same.
 """
 
 from __future__ import annotations
@@ -90,6 +96,10 @@ class Words:
         words = b.split()
         return lambda i, j: b" ".join(words[i:j])
 
+    def unpacker(self, packed: bytes) -> Callable[[int, int], bytes]:
+        words = packed.split(b" ")
+        return lambda i, j: b" ".join(words[i:j])
+
     def windows(self, packed: bytes) -> list[bytes]:
         words = packed.split(b" ")
         return [b" ".join(words[i : i + self.k]) for i in range(len(words) - self.k + 1)]
@@ -109,6 +119,8 @@ class Bytes:
     def packer(self, b: bytes) -> Callable[[int, int], bytes]:
         return lambda i, j: b[i:j]
 
+    unpacker = packer
+
     def windows(self, packed: bytes) -> list[bytes]:
         return [packed[i : i + self.k] for i in range(len(packed) - self.k + 1)]
 
@@ -125,8 +137,8 @@ def _minima(grams: np.ndarray, wide: int) -> np.ndarray:
     return (low & _LOW).astype(np.int64)
 
 
-def runs(units, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Minimiser, first window and number of windows of each super-k-mer, text by text."""
+def runs(units, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Minimiser, first window, number of windows and the minimiser's place in the first, of each super-k-mer, text by text."""
     grams, counts = units.grams(texts)
     k, wide = units.k, units.k - units.m + 1
     if len(grams) >= wide:
@@ -135,11 +147,11 @@ def runs(units, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np
     base = 0
     for count in counts.tolist():
         if count < k:
-            yield (np.empty(0, np.int64),) * 3
+            yield (np.empty(0, np.int64),) * 4
         else:
             own = place[base : base + count - k + 1]
             first = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-            yield grams[own[first]].view(np.int64), first, np.diff(np.append(first, len(own)))
+            yield grams[own[first]].view(np.int64), first, np.diff(np.append(first, len(own))), own[first] - base - first
         base += count
 
 
@@ -165,7 +177,7 @@ def _occurrences(units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         fresh_worker()
         for part in (group for part in slices(batches) for group in grouped(part)):
             minis, ids, hashes, counts = [], [], [], []
-            for doc, th, (found, _, _) in zip(part["doc_id"], part["th"], runs(units, part["b"])):
+            for doc, th, (found, *_) in zip(part["doc_id"], part["th"], runs(units, part["b"])):
                 mini, n = np.unique(found, return_counts=True)
                 minis.append(mini)
                 counts.append(n.astype(np.int32))
@@ -176,28 +188,37 @@ def _occurrences(units) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return scan
 
 
-PACKS = "mini long, digest binary, packed binary, doc_id long, th long, starts array<int>, n_windows int"
-_PACKS = pa.schema([("mini", pa.int64()), ("digest", pa.binary()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int32())), ("n_windows", pa.int32())])
+PACKS = "mini long, digest binary, packed binary, doc_id long, th long, starts array<int>, n_windows int, at int"
+_PACKS = pa.schema([("mini", pa.int64()), ("digest", pa.binary()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("starts", pa.list_(pa.int32())), ("n_windows", pa.int32()), ("at", pa.int32())])
 
 
 def _packs(units):
     def scan(batches):
         out = Rows(_PACKS)
         for part in (group for part in slices(batches, 64) for group in grouped(part)):
-            for doc, th, b, minis, (mini, first, n) in zip(part["doc_id"], part["th"], part["b"], part["minis"], runs(units, part["b"])):
+            for doc, th, b, minis, (mini, first, n, at) in zip(part["doc_id"], part["th"], part["b"], part["minis"], runs(units, part["b"])):
                 wanted = np.flatnonzero(np.isin(mini, np.array(minis, np.int64)))
                 pack, own = units.packer(b), {}
                 for i in wanted.tolist():
                     packed = pack(int(first[i]), int(first[i] + n[i]) + units.k - 1)
-                    own.setdefault(packed, (int(mini[i]), int(n[i]), []))[2].append(int(first[i]))
-                for packed, (key, windows, starts) in own.items():
-                    if out.add(key, hashlib.blake2b(packed, digest_size=16).digest(), packed, doc, th, starts, windows, size=len(packed) + 80 + 4 * len(starts)):
+                    own.setdefault(packed, (int(mini[i]), int(n[i]), int(at[i]), []))[3].append(int(first[i]))
+                for packed, (key, windows, place, starts) in own.items():
+                    if out.add(key, hashlib.blake2b(packed, digest_size=16).digest(), packed, doc, th, starts, windows, place, size=len(packed) + 84 + 4 * len(starts)):
                         yield out.batch()
         yield out.batch()
 
     return scan
 
 
+def groups(n_windows: int, at: int, size: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Number, first window, last window, and first and last unit of the core, of a string's groups of ``size`` starts.
+
+    ``at``: the minimiser's place in the first window.  Cores are given from the string's start.
+    """
+    for j in range(at // size, (at - n_windows + 1) // size - 1, -1):
+        yield j, max(0, at - (j + 1) * size + 1), min(n_windows - 1, at - j * size), at - j * size, at - (j + 1) * size + 1
+
+
 _SOLVED = pa.schema([("digest", pa.binary()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 SOLVED = "digest binary, spans array<struct<s:int,e:int>>"
 
@@ -208,17 +229,21 @@ def spans_of(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"s": int(s), "e": int(e)} for s, e in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1))]
 
 
+_ROW = ("digest", "packed", "first_doc", "n", "at")
+
+
 def _buckets(solve, block_bytes: int):
     """Streams whole buckets, which arrive sorted by minimiser, in blocks to ``solve``.
 
-    ``solve`` gets a list of buckets, each a list of (digest, packed, first_doc),
-    and yields (digest, spans) for strings with repeated windows.
+    ``solve`` gets a list of buckets, each a list of rows (``_ROW``), and yields
+    (digest, spans) for strings with repeated windows.
     """
 
     def run(batches):
+        fresh_worker()
         out, block, bucket, key, held = Rows(_SOLVED), [], [], None, 0
         for part in slices(batches, 1024):
-            for mini, *row in zip(part["mini"], part["digest"], part["packed"], part["first_doc"]):
+            for mini, *row in zip(part["mini"], *(part[c] for c in _ROW)):
                 if mini != key:
                     if bucket:
                         block.append(bucket)
@@ -240,24 +265,59 @@ def _buckets(solve, block_bytes: int):
     return run
 
 
-_SINGLE = pa.schema([("key", pa.binary()), ("digest", pa.binary()), ("i", pa.int32()), ("first_doc", pa.int64()), ("n", pa.int64())])
+PARTS = "mini long, sub binary, packed binary, n_windows int, at int, digest binary, shift int, first_doc long, n long"
+_PARTS = pa.schema([("mini", pa.int64()), ("sub", pa.binary()), ("packed", pa.binary()), ("n_windows", pa.int32()), ("at", pa.int32()), ("digest", pa.binary()), ("shift", pa.int32()), ("first_doc", pa.int64()), ("n", pa.int64())])
 
 
-def _windows(units):
-    """The windows of hot buckets, one row each; a 128-bit digest stands for the window."""
+def _cut(units, size: int):
+    """Strings of hot buckets cut into one string per group; a core's digest is the new bucket's key."""
 
     def run(batches):
-        out = Rows(_SINGLE)
-        for part in slices(batches, 64):
-            for digest, packed, first, n in zip(part["digest"], part["packed"], part["first_doc"], part["n"]):
-                for i, window in enumerate(units.windows(packed)):
-                    if out.add(hashlib.blake2b(window, digest_size=16).digest(), digest, i, first, n, size=96):
+        out = Rows(_PARTS)
+        for part in slices(batches, 256):
+            for mini, digest, packed, windows, at, first_doc, n in zip(*(part[c] for c in ("mini", "digest", "packed", "n_windows", "at", "first_doc", "n"))):
+                cut = units.unpacker(packed)
+                for j, first, last, start, end in groups(windows, at, size):
+                    own, core = cut(first, last + units.k), cut(start, end + units.k)
+                    key = hashlib.blake2b(core, digest_size=8, key=mini.to_bytes(8, "little", signed=True), salt=j.to_bytes(4, "little")).digest()
+                    sub = hashlib.blake2b(own, digest_size=16, key=key).digest()
+                    if out.add(int.from_bytes(key, "little", signed=True), sub, own, last - first + 1, at - first, digest, first, first_doc, n, size=len(own) + 128):
                         yield out.batch()
         yield out.batch()
 
     return run
 
 
+def _settle(unique: DataFrame, units, solve, across: bool, scratch: Scratch, hot_bytes: int, block_bytes: int, size: int, level: int = 0) -> DataFrame:
+    """``digest, spans`` of the strings with windows that repeat in other strings or, unless ``across``, in a string that occurs twice.
+
+    ``size``: how many starts the windows of a bucket may have.
+    """
+    many = (F.count("*") > 1) if across else (F.sum("n") > 1)
+    sizes = unique.groupBy("mini").agg(many.alias("many"), F.sum(F.length("packed")).alias("bytes")).where("many")
+    # At a size of 1 a bucket has one string.
+    wide = (F.col("bytes") > hot_bytes) if size > 1 else F.lit(False)
+    shared = scratch.keep(unique.join(sizes.select("mini", wide.alias("hot")), "mini"), f"shared-{level}")
+    cool = shared.where("not hot").select("mini", *_ROW).repartition("mini").sortWithinPartitions("mini", "digest")
+    solved = cool.mapInArrow(_buckets(solve, block_bytes), SOLVED)
+    hot = shared.where("hot")
+    if hot.isEmpty():
+        return solved
+    size = -(-size // 4)
+    parts = scratch.keep(hot.mapInArrow(_cut(units, size), PARTS), f"parts-{level}")
+    subs = parts.groupBy("mini", "sub", "packed", "n_windows", "at").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
+    subs = scratch.keep(subs.withColumnRenamed("sub", "digest"), f"subs-{level}")
+    found = _settle(subs, units, solve, across, scratch, hot_bytes, block_bytes, size, level + 1)
+    known = subs.select(F.col("digest").alias("sub"), F.col("first_doc").alias("low"), F.col("n").alias("total"))
+    joined = parts.select("digest", "sub", "shift", "n_windows", "first_doc").join(known, "sub").join(found.withColumnRenamed("digest", "sub"), "sub", "left")
+    own = F.transform("spans", lambda x: F.struct((x["s"] + F.col("shift")).alias("s"), (x["e"] + F.col("shift")).alias("e")))
+    if across:
+        whole = F.array(F.struct(F.col("shift").alias("s"), (F.col("shift") + F.col("n_windows")).alias("e")))
+        own = F.when(F.col("low") < F.col("first_doc"), whole).otherwise(own)
+    joined = joined.select("digest", own.alias("spans")).where("spans is not null")
+    return solved.unionByName(joined.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
 def repeated_spans(docs: DataFrame, units, solve, across: bool, scratch: Scratch, hot_bytes: int = 8 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """``doc_id, th, marks``: for each document, where its repeated windows start.
 
@@ -273,25 +333,19 @@ def repeated_spans(docs: DataFrame, units, solve, across: bool, scratch: Scratch
     scratch.drop("occurrences")
 
     unique = scratch.keep(
-        packs.groupBy("mini", "digest", "packed", "n_windows").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum(F.size("starts")).alias("n")),
+        packs.groupBy("mini", "digest", "packed", "n_windows", "at").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum(F.size("starts")).alias("n")),
         "unique",
     )
-    sizes = unique.groupBy("mini").agg(F.count("*").alias("strings"), F.sum(F.length("packed")).alias("bytes")).where("strings > 1")
-    shared = unique.join(sizes, "mini").select("mini", "digest", "packed", "first_doc", "n", (F.col("bytes") > hot_bytes).alias("hot"))
-    cool = shared.where("not hot").select("mini", "digest", "packed", "first_doc").repartition("mini").sortWithinPartitions("mini", "digest")
-    solved = cool.mapInArrow(_buckets(solve, block_bytes), SOLVED)
-    singles = shared.where("hot").select("digest", "packed", "first_doc", "n").mapInArrow(_windows(units), "key binary, digest binary, i int, first_doc long, n long")
-    seen = singles.groupBy("key").agg(F.min("first_doc").alias("lowest"), F.sum("n").alias("total"))
-    hot = singles.join(seen, "key").where(F.col("lowest") < F.col("first_doc") if across else F.col("total") > 1)
-    hot = hot.groupBy("digest").agg(F.transform(F.sort_array(F.collect_set("i")), lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))).alias("spans"))
-    solved = scratch.keep(solved.unionByName(hot), "solved")
-
-    again = F.col("first_doc") < F.col("last_doc") if across else F.col("n") > 1
-    verdicts = unique.select("digest", "first_doc", again.alias("again")).join(solved, "digest", "left").where("again or spans is not null")
+    solved = scratch.keep(_settle(unique, units, solve, across, scratch, hot_bytes, block_bytes, units.k - units.m + 1), "solved")
+
+    if not across:
+        marks = packs.select("digest", "doc_id", "th", "starts").join(solved, "digest")
+        return marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "spans")).alias("marks"))
+    again = unique.select("digest", "first_doc", (F.col("first_doc") < F.col("last_doc")).alias("again"))
+    verdicts = again.join(solved, "digest", "left").where("again or spans is not null")
     whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n_windows").alias("e")))
-    whole_too = F.col("again") & (F.col("doc_id") > F.col("first_doc")) if across else F.col("again")
     marks = packs.select("digest", "doc_id", "th", "starts", "n_windows").join(verdicts, "digest")
-    marks = marks.withColumn("spans", F.when(whole_too, whole).otherwise(F.col("spans"))).where("spans is not null")
+    marks = marks.withColumn("spans", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(F.col("spans"))).where("spans is not null")
     return marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("starts", "spans")).alias("marks"))
 
 

@@ -222,8 +222,6 @@ def test_pipeline(spark, tmp_path):
     """All five stages against plain versions on a fixture with every kind of case."""
     import corpus_pipeline
 
-    from matchloom.llm import simhash
-
     rng = random.Random(9)
     base = language_rows()
     long_ = [" ".join(rng.choices([w for r in base for w in r[1].split()], k=150)) for _ in range(30)]
@@ -236,9 +234,11 @@ def test_pipeline(spark, tmp_path):
     found = got(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens"))
 
     own = {r[0]: r[1] for r in rows if any(c.isalpha() for c in r[1] or "")}
-    fps = [(d, simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5), 4)) for d, t in own.items()]
-    near = lambda a, b: np.bitwise_count(a ^ b).sum() <= 45 and bool((np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32)) <= 3).any())
-    first = set(brute.components(fps, near))
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    first = set(brute.components([(d, shingles(t)) for d, t in own.items()], lambda a, b: 5 * len(a & b) >= 4 * len(a | b)))
     own = {d: t for d, t in own.items() if d in first}
     lowest: dict[tuple, int] = {}
     for d, t in own.items():

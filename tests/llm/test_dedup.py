@@ -13,12 +13,12 @@ from matchloom.llm import embedding_dedup, simhash, substring_dedup, suffix_dedu
 from matchloom.llm.components import components, forest
 
 
-@pytest.mark.parametrize("hot", [8 << 20, 600])
+@pytest.mark.parametrize("hot", [8 << 20, 3000, 600])
 def test_substring_dedup(docs, pairs, scratch, hot):
     assert got(substring_dedup.dedup(docs, scratch, hot_bytes=hot)) == brute.substring_dedup(pairs)
 
 
-@pytest.mark.parametrize("hot", [8 << 20, 600])
+@pytest.mark.parametrize("hot", [8 << 20, 3000, 600])
 def test_suffix_dedup(docs, pairs, scratch, hot):
     assert got(suffix_dedup.dedup(docs, scratch, hot_bytes=hot)) == brute.suffix_dedup(pairs)
 
@@ -61,48 +61,83 @@ def test_strip_repeats(docs, rows, scratch):
 @given(st.lists(st.binary(max_size=60), min_size=1, max_size=4), st.sampled_from([superkmers.Words(6, 4), superkmers.Bytes(9, 4)]))
 @settings(max_examples=150, deadline=None)
 def test_runs_cover_every_window_once(texts, units):
-    for text, (mini, first, n) in zip(texts, superkmers.runs(units, texts)):
+    for text, (mini, first, n, at) in zip(texts, superkmers.runs(units, texts)):
         size = len(text.split()) if isinstance(units, superkmers.Words) else len(text)
         covered = [w for f, k in zip(first, n) for w in range(f, f + k)]
         assert covered == list(range(max(0, size - units.k + 1)))
         alone = next(superkmers.runs(units, [text]))
-        assert all((a == b).all() for a, b in zip(alone, (mini, first, n)))
-
-
-@given(st.lists(st.text("ab", min_size=8, max_size=40).map(str.encode), min_size=2, max_size=5, unique=True))
-@settings(max_examples=150, deadline=None)
-def test_interval_expansion(strings):
-    from collections import Counter
-
-    units = superkmers.Bytes(8, 4)
-    found = dict(suffix_dedup.interval_expansion(units)([[(i, s, 0) for i, s in enumerate(strings)]]))
+        assert all((a == b).all() for a, b in zip(alone, (mini, first, n, at)))
+
+
+@given(st.lists(st.text("ab", min_size=8, max_size=60).map(str.encode), min_size=2, max_size=5), st.sampled_from([3, 1 << 20]))
+@settings(max_examples=200, deadline=None)
+def test_interval_expansion(strings, hot):
+    """Buckets of super-k-mers, also cut into groups; the windows found are those that occur more than once."""
+    from collections import Counter, defaultdict
+
+    units = superkmers.Bytes(12, 4)
+    buckets: dict = defaultdict(Counter)
+    places = defaultdict(list)
+    for i, (s, (mini, first, n, at)) in enumerate(zip(strings, superkmers.runs(units, strings))):
+        for m, f, k, o in zip(*(v.tolist() for v in (mini, first, n, at))):
+            own = s[f : f + k + units.k - 1]
+            buckets[m][own, o] += 1
+            places[m, own].append((i, f))
+    rows = [[((m, own), own, 0, n, o) for (own, o), n in bucket.items()] for m, bucket in buckets.items()]
+    if hot == 3:
+        cut = defaultdict(Counter)
+        for m, bucket in buckets.items():
+            for (own, o), n in bucket.items():
+                for j, first, last, start, end in superkmers.groups(len(own) - units.k + 1, o, 3):
+                    assert end + units.k > start >= 0
+                    cut[m, j, own[start : end + units.k]][own[first : last + units.k], o - first, (m, own), first] += n
+        rows = [[(key, part, 0, max(n, sum(bucket[y] for y in bucket if y[0] == part)), o) for (part, o, *key), n in bucket.items()] for bucket in cut.values()]
+    hit = [np.zeros(max(0, len(s) - units.k + 1), bool) for s in strings]
+    for bucket in rows:
+        names = {i: row[0] for i, row in enumerate(bucket)}
+        for i, spans in suffix_dedup.interval_expansion(units)([[(i, *row[1:]) for i, row in enumerate(bucket)]]):
+            key, shift = names[i] if hot == 3 else (names[i], 0)
+            for doc, f in places[key]:
+                for x in spans:
+                    hit[doc][f + shift + x["s"] : f + shift + x["e"]] = True
     seen = Counter(w for s in strings for w in units.windows(s))
-    for i, s in enumerate(strings):
-        assert found.get(i, []) == superkmers.spans_of(np.array([seen[w] > 1 for w in units.windows(s)]))
+    for s, flags in zip(strings, hit):
+        assert flags.tolist() == [seen[w] > 1 for w in units.windows(s)]
 
 
 def test_simhash_contract(docs, pairs, scratch):
     from pyspark.sql import functions as F
 
-    found = simhash.near_duplicates(docs, scratch, shingle=3, words=1, bits=64, radius=2, most=None)
-    out = found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0"), "component_id")
+    found = simhash.near_duplicates(docs, scratch, shingle=3, radius=2)
+    out = found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0"), "component_id")
     assert got(out) == sorted(brute.simhash(pairs))
 
 
-def test_simhash_views(docs, pairs, scratch):
-    """Links of the default form: any 32-bit part within 3 bits, all 256 within 45."""
-    fps = [(d, simhash.fingerprint(simhash.shingle_hashes((t or "").encode(), 5), 4)) for d, t in pairs]
-
-    def linked(a, b):
-        parts = lambda x: x.view(np.uint32)
-        return np.bitwise_count(a ^ b).sum() <= 45 and bool((np.bitwise_count(parts(a) ^ parts(b)) <= 3).any())
-
-    expected = {d: c for (d, _), c in zip(fps, brute.components(fps, linked))}
+def test_simhash_keeps_one(docs, pairs, scratch):
+    fps = [(d, simhash.fingerprint(simhash.shingle_hashes((t or "").encode(), 5)) & (1 << 64) - 1) for d, t in pairs]
+    expected = {d: c for (d, _), c in zip(fps, brute.components(fps, lambda a, b: (a ^ b).bit_count() <= 3))}
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, scratch).collect()} == expected
     kept = {r["doc_id"] for r in simhash.keep_one(docs, type(scratch)(docs.sparkSession, "t")).collect()}
     assert kept == set(expected.values())
 
 
+@pytest.mark.parametrize("radius, group", [(2, 1 << 20), (3, 1 << 20), (2, 60), (3, 60)])
+def test_simhash_links(spark, scratch, monkeypatch, radius, group):
+    """Dense, sparse and equal patterns, also where one pattern runs on over several ranges."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = np.random.default_rng(radius)
+    flips = lambda n, most: np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (n, most), dtype=np.uint64), axis=1)
+    codes = rng.integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2)
+    low = rng.integers(0, 1 << 30, 300, dtype=np.uint64) ^ np.uint64(0xABCD << 40)  # they share a front
+    codes = np.unique(np.concatenate((codes, codes ^ flips(200, radius), codes ^ flips(200, radius + 2), codes[0] ^ flips(200, 5), low, np.array([0, 1], np.uint64))))
+    nodes = [(int(i), int(c)) for i, c in enumerate(codes.view(np.int64))]
+    a, b = zip(*[(r["a"], r["b"]) for r in simhash.links(spark, spark.createDataFrame(nodes, "node long, fp long"), scratch, radius).collect()])
+    child, root = forest(np.array(a), np.array(b))
+    i, j = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius)
+    expected = forest(i, j)
+    assert dict(zip(child.tolist(), root.tolist())) == dict(zip(*(x.tolist() for x in expected)))
+
+
 @pytest.mark.parametrize("n", [1, 7, 8, 9, 500])
 def test_gray_index(n):
     rng = np.random.default_rng(n)
