@@ -26,6 +26,11 @@ from .common import Rows, fresh_worker, slices
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
+#: Vectors of so many grams exist at once; longer texts are taken in parts of about so many characters.
+AT_ONCE, PART = 4096, 1 << 20
+#: A text of at least so many grams has no learned language if its best cosine could be chance:
+#: cosines with an unrelated prototype have a standard deviation of one over the root of the dimensions.
+ENOUGH, DEVIATIONS = 50, 3.0
 
 _LETTER: list[np.ndarray] = []
 
@@ -85,6 +90,14 @@ class Grams:
         n = len(self.alphabet)
         return self.alphabet[np.stack((self.codes // (n * n), self.codes // n % n, self.codes % n), axis=1)]
 
+    def bundles(self, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row per text: the sum of its grams' vectors, and its number of grams."""
+        counts, letters = self.counts(), self.letters()
+        out = np.zeros((self.n_texts, dimensions))
+        for at in range(0, len(self.codes), AT_ONCE):
+            out += counts[:, at : at + AT_ONCE] @ gram_vectors(letters[at : at + AT_ONCE], dimensions)
+        return out, counts.sum(axis=1, dtype=np.float64)
+
 
 def gram_vectors(letters: np.ndarray, dimensions: int) -> np.ndarray:
     alphabet, place = np.unique(letters, return_inverse=True)
@@ -93,6 +106,27 @@ def gram_vectors(letters: np.ndarray, dimensions: int) -> np.ndarray:
     return (np.roll(own, 2, axis=1)[place[:, 0]] * np.roll(own, 1, axis=1)[place[:, 1]] * own[place[:, 2]]).astype(np.float32)
 
 
+def _parts(text: str):
+    """A text in parts; cut after something that is no letter, where there is, which no gram goes across."""
+    at = 0
+    while len(text) - at > PART:
+        end = at + PART
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + PART
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def bundles(texts: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``Grams.bundles``, for texts of any length."""
+    if max(map(len, texts)) <= PART:
+        return Grams(texts).bundles(dimensions)
+    each = [[sum(x) for x in zip(*(Grams([part]).bundles(dimensions) for part in _parts(text)))] for text in texts]
+    return np.concatenate([v for v, _ in each]), np.concatenate([n for _, n in each])
+
+
 def _groups(rows: dict[str, list], most: int = 1 << 17):
     """Texts in groups of bounded size; a longer text is alone."""
     group, held = [], 0
@@ -114,15 +148,10 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
         sums: dict[str, np.ndarray] = {}
         for rows in slices(batches, 512):
             for group in _groups(rows):
-                grams = Grams([rows["text"][i] for i in group])
-                if not len(grams.codes):
-                    continue
-                langs = [rows["lang"][i] for i in group]
-                counts = grams.counts()
-                vectors = gram_vectors(grams.letters(), dimensions)
+                vectors, _ = bundles([rows["text"][i] for i in group], dimensions)
+                langs = np.array([rows["lang"][i] for i in group], object)
                 for lang in set(langs):
-                    own = counts[[x == lang for x in langs]].sum(axis=0, dtype=np.float64)
-                    sums[lang] = sums.get(lang, 0) + own @ vectors
+                    sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
         out = pa.array([np.asarray(v, np.float64).tolist() for v in sums.values()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), out], names=["lang", "v"])
 
@@ -137,26 +166,25 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
 _PREDICTED = pa.schema([("k_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def predict_texts(texts: list[str], names: list[str], matrix: np.ndarray, dimensions: int) -> list[tuple[str, float]]:
-    """Language and cosine (0 if negative) of each text of a group."""
-    grams = Grams(texts)
-    if not len(grams.codes) or not names:
-        return [(UNDETERMINED, 0.0)] * len(texts)
-    vectors = grams.counts() @ gram_vectors(grams.letters(), dimensions)
-    norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
+def predict_texts(texts: list[str], names: list[str], matrix: np.ndarray, dimensions: int) -> list[tuple[str, float, int]]:
+    """Language, cosine (0 if negative) and number of grams of each text of a group."""
+    vectors, grams = bundles(texts, dimensions)
+    norms = np.linalg.norm(vectors, axis=1)
+    if not names:
+        return [(UNDETERMINED, 0.0, int(n)) for n in grams]
     cosines = vectors @ matrix.T / np.maximum(norms, 1e-300)[:, None]
     best = cosines.argmax(axis=1)
-    return [(names[b], float(min(1.0, max(0.0, cosines[i, b])))) if norms[i] > 0 else (UNDETERMINED, 0.0) for i, b in enumerate(best)]
+    return [(names[b], float(min(1.0, max(0.0, cosines[i, b]))), int(grams[i])) if norms[i] > 0 else (UNDETERMINED, 0.0, int(grams[i])) for i, b in enumerate(best)]
 
 
 def predictor(learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS):
-    """Batches with a ``text`` column to the same batches with ``lang_pred`` and ``score`` in place of its last two columns."""
+    """A function of texts to (language, cosine, number of grams) of each."""
     names = list(learned)
-    matrix = np.array([learned[x] for x in names], np.float32).reshape(len(names), dimensions)
+    matrix = np.array([learned[x] for x in names], np.float64).reshape(len(names), dimensions)
 
-    def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(texts: list[str | None]) -> list[tuple[str, float, int]]:
         rows = {"text": [t or "" for t in texts]}
-        out: list[tuple[str, float]] = []
+        out: list[tuple[str, float, int]] = []
         for group in _groups(rows):
             out += predict_texts([rows["text"][i] for i in group], names, matrix, dimensions)
         return out
@@ -172,7 +200,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int =
         fresh_worker()
         out = Rows(_PREDICTED)
         for rows in slices(batches, 512):
-            for doc, (lang, score) in zip(rows["k_id"], predict(rows["text"])):
+            for doc, (lang, score, _) in zip(rows["k_id"], predict(rows["text"])):
                 if out.add(doc, lang, score):
                     yield out.batch()
         yield out.batch()
@@ -191,10 +219,16 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
     return prototypes(docs.where("doc_id is not null").where(~held_out("doc_id")), dimensions)
 
 
-def keep_known(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS, least: float = 0.0) -> DataFrame:
-    """The documents with a language: those undetermined, or with a cosine below ``least``, go; columns stay."""
+def keep_known(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int = DIMENSIONS, enough: int = ENOUGH, deviations: float = DEVIATIONS) -> DataFrame:
+    """The documents with a learned language; columns stay.
+
+    A text without a letter goes, and one of ``enough`` grams or more whose best
+    cosine isn't ``deviations`` standard deviations of chance.  Shorter texts
+    say too little to be rejected.  If nothing was learned, all go.
+    """
     predict = predictor(learned, dimensions)
     at = docs.columns.index("text")
+    least = deviations / dimensions**0.5
 
     def run(batches):
         fresh_worker()
@@ -202,6 +236,6 @@ def keep_known(docs: DataFrame, learned: dict[str, np.ndarray], dimensions: int
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 found = predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+                yield part.filter(pa.array([lang != UNDETERMINED and (n < enough or score >= least) for lang, score, n in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

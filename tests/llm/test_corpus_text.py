@@ -167,11 +167,56 @@ def test_language(spark):
     assert sum(found[d]["lang_pred"] == lang for d, _, lang in held) >= 0.97 * len(held) > 30
     assert [(found[i]["lang_pred"], found[i]["score"]) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
     assert all(0 <= r["score"] <= 1 for r in found.values())
+    foreign = spark.createDataFrame([(2000, "ашдщ ывпро члдюб жэхъ " * 9, None, "x"), (2001, "ашдщ", None, "x")], docs.schema)
+    known = {r["doc_id"] for r in language_id.keep_known(docs.unionByName(foreign), language_id.learn(docs)).collect()}
+    assert 2000 not in known and 2001 in known  # too short to tell
+    assert language_id.keep_known(docs, {}).count() == 0
+    empty = docs.limit(0)
+    assert language_id.learn(empty) == {} and got(language_id.identify(empty, {})) == []
     kept = language_id.keep_known(docs, language_id.learn(docs))
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {r[0] for r in rows} and kept.count() == len(rows) + 2
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_of_a_very_long_text(monkeypatch):
+    """Parts and slices give the vectors of the whole, and memory doesn't follow the text."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x6000)) + rng.choice(["", "", ". "]) for _ in range(30_000)), "", "a b", "x" * 3000]
+    plain = language_id.Grams(texts)
+    whole = plain.counts() @ language_id.gram_vectors(plain.letters(), 64)
+    monkeypatch.setattr(language_id, "PART", 2000)
+    monkeypatch.setattr(language_id, "AT_ONCE", 100)
+    vectors, grams = language_id.bundles([*texts[:3], "x"], 64)
+    assert np.allclose(vectors[:3], whole[:3]) and grams[:3].tolist() == plain.counts().sum(axis=1)[:3].tolist()
+    monkeypatch.undo()
+    tracemalloc.start()
+    language_id.bundles(["".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=200_000)))], 1024)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_language_equals_a_plain_version(spark):
+    """Prototypes and cosines from dictionaries of grams, one gram at a time."""
+    rows = language_rows()[:80]
+    own = {c: language_id._letter_vectors(np.array([c], np.uint32), 256)[0].astype(int) for c in {0, *(ord(x) for _, t, _ in rows for x in t if x.isalpha())}}
+
+    def vector(text):
+        clean = [0, *(0 if c == " " else ord(c) for c in text.lower()), 0]
+        return sum((np.roll(own[a], 2) * np.roll(own[b], 1) * own[c] for a, b, c in zip(clean, clean[1:], clean[2:]) if b), np.zeros(256))
+
+    sums: dict = defaultdict(lambda: np.zeros(256))
+    for d, t, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            sums[lang] += vector(t)
+    cosine = lambda a, b: a @ b / (np.linalg.norm(a) * np.linalg.norm(b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in language_id.identify(docs, language_id.learn(docs, 256), 256).collect():
+        every = {lang: cosine(vector(rows[r["doc_id"]][1]), s) for lang, s in sums.items()}
+        assert r["lang_pred"] == max(sorted(every), key=every.get) and abs(r["score"] - max(every.values())) < 1e-6
+
+
 def test_warc(spark, scratch):
     pages = [(1, "http://a b\n", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "x"), (6, "u", "é" * 100_000), (7, "u", "a\r\n\r\nWARC/1.1\r\n")]
     df = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, refers_to string")
@@ -268,3 +313,6 @@ def test_pipeline(spark, tmp_path):
     assert found == sorted(expected, key=lambda r: (r[0], str(r)))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "substring_dedup", "decontamination", "packing"]
     assert CLASHING
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert got(corpus_pipeline.run(spark, f"{tmp_path}/none")) == []
