@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
+from ..session import kept
 
 
 def retrieval_texts(records: DataFrame) -> DataFrame:
@@ -42,23 +43,21 @@ def exact_sample(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFr
 def row_numbers(rows: DataFrame, by: str, name: str = "row_no") -> DataFrame:
     """Numbers from 0 without gaps, in the order of ``by``.
 
-    Partitions number their own rows; only their sizes meet in one place.
+    Partitions number their own rows and are written, as another run of the same
+    range shuffle may draw other bounds; only their sizes meet in one place.
     """
     ordered = rows.repartitionByRange(by).sortWithinPartitions(by).withColumns({"k_part": F.spark_partition_id(), "k_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    sizes = {r["k_part"]: r["n"] for r in ordered.groupBy("k_part").agg(F.count("*").alias("n")).collect()}
-    base, at = {}, 0
-    for part in sorted(sizes):
-        base[part], at = at, at + sizes[part]
-    if not base:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    bases = F.create_map(*(F.lit(x) for item in base.items() for x in item))
-    return ordered.withColumn(name, (F.element_at(bases, F.col("k_part")) + F.col("k_at")).cast("long")).drop("k_part", "k_at")
+    ordered = kept(ordered, "row-numbers")
+    before = Window.orderBy("k_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per partition.
+    bases = ordered.groupBy("k_part").agg(F.count("*").alias("n")).select("k_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("k_base"))
+    return ordered.join(F.broadcast(bases), "k_part").withColumn(name, F.col("k_base") + F.col("k_at")).drop("k_part", "k_at", "k_base")
 
 
 def negatives_with_replacement(anchors: DataFrame, pool: DataFrame, anchor_id: str, pool_id: str, seed: int = 42) -> DataFrame:
     """``anchor_id, negative_id``: a seeded pool record for each anchor; one record can serve several."""
     numbered = row_numbers(pool.select(pool_id), pool_id)
-    n = pool.count()
+    n = numbered.count()
     drawn = anchors.select(F.col(anchor_id), F.floor(hash_fraction(F.col(anchor_id), seed) * n).cast("long").alias("row_no"))
     return drawn.join(numbered, "row_no").select(anchor_id, F.col(pool_id).alias("negative_id"))
 
