@@ -64,11 +64,16 @@ def macro_fbeta(decided: DataFrame, entities: DataFrame, beta: float = BETA) ->
 
 
 def macro_by_country(decided: DataFrame, entities: DataFrame, beta: float = BETA) -> DataFrame:
-    """``country, macro_f`` with rows for ``all`` (entities weigh the same) and ``mean`` (countries do)."""
-    scores = entity_scores(decided, entities, beta)
-    own = scores.groupBy("country").agg(F.avg("f").alias("macro_f"))
-    every = scores.agg(F.lit("all").alias("country"), F.avg("f").alias("macro_f"))
-    return own.unionByName(every).unionByName(own.agg(F.lit("mean").alias("country"), F.avg("macro_f").alias("macro_f")))
+    """``country, macro_f`` with rows for ``all`` (entities weigh the same) and ``mean`` (countries do).
+
+    Entities are scored once: sums and counts by country, a few rows, give all others.
+    """
+    own = entity_scores(decided, entities, beta).groupBy("country").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
+    mean = F.sum("f") / F.sum("n")
+    total = own.rollup("country").agg(mean.alias("own"), F.avg(F.col("f") / F.col("n")).alias("each"), F.grouping("country").alias("over"))
+    named = F.when(F.col("over") == 0, F.array(F.struct("country", F.col("own").alias("macro_f"))))
+    both = F.array(F.struct(F.lit("all").alias("country"), F.col("own").alias("macro_f")), F.struct(F.lit("mean").alias("country"), F.col("each").alias("macro_f")))
+    return total.select(F.explode(named.otherwise(both)).alias("r")).select("r.country", "r.macro_f")
 
 
 def set_fbeta(predicted: Column, true: Column, beta: float = BETA) -> Column:
@@ -92,7 +97,7 @@ def _fbeta_array(tp: np.ndarray, predicted: np.ndarray, true: np.ndarray, beta:
 
 
 def _grid_sums(beta: float):
-    """Sums of F-beta at all points over the entities of a task.
+    """Sums of F-beta at all points over the entities of a task, country by country.
 
     What an entity's pairs do at a match threshold and a distance doesn't depend
     on the singleton threshold, which only decides whether they count at all.
@@ -100,48 +105,71 @@ def _grid_sums(beta: float):
     singleton, match, delta = (np.array(x) for x in (fixed.TAU_SINGLETON, fixed.TAU_MATCH, fixed.DELTA_PROB))
     allowed = [(i, j, k) for i, ts in enumerate(singleton) for j, tm in enumerate(match) for k in range(len(delta)) if tm <= ts]
 
+    def add(batch, sums: np.ndarray) -> None:
+        true = batch.column("n_true").to_numpy(zero_copy_only=False).astype(float)
+        prob, label = (batch.column(c) for c in ("p", "y"))
+        size = pc.fill_null(pc.list_value_length(prob), 0).to_numpy(zero_copy_only=False)
+        bare = _fbeta_array(np.zeros(len(true)), np.zeros(len(true)), true, beta)
+        own = np.flatnonzero(size)
+        sums += bare[size == 0].sum()
+        if not len(own):
+            return
+        p, y = prob.flatten().to_numpy().astype(float), label.flatten().to_numpy().astype(float)
+        starts = np.cumsum(size[own]) - size[own]
+        best = np.maximum.reduceat(p, starts)
+        passed = (p[:, None, None] >= match[:, None]) & ((np.repeat(best, size[own]) - p)[:, None, None] <= delta)
+        predicted = np.add.reduceat(passed.astype(float), starts, axis=0)
+        tp = np.add.reduceat(passed * y[:, None, None], starts, axis=0)
+        f = _fbeta_array(tp, predicted, true[own][:, None, None], beta)
+        for i, ts in enumerate(singleton):
+            over = best >= ts
+            sums[i] += f[over].sum(axis=0) + bare[own][~over].sum()
+
     def run(batches):
-        sums, n = np.zeros((len(singleton), len(match), len(delta))), 0
+        sums: dict[str | None, np.ndarray] = {}
+        counts: dict[str | None, int] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                true = batch.column("n_true").to_numpy(zero_copy_only=False).astype(float)
-                prob, label = (batch.column(c) for c in ("p", "y"))
-                size = pc.fill_null(pc.list_value_length(prob), 0).to_numpy(zero_copy_only=False)
-                n += len(true)
-                bare = _fbeta_array(np.zeros(len(true)), np.zeros(len(true)), true, beta)
-                own = np.flatnonzero(size)
-                sums += bare[size == 0].sum()
-                if not len(own):
-                    continue
-                p, y = prob.flatten().to_numpy().astype(float), label.flatten().to_numpy().astype(float)
-                starts = np.cumsum(size[own]) - size[own]
-                best = np.maximum.reduceat(p, starts)
-                passed = (p[:, None, None] >= match[:, None]) & ((np.repeat(best, size[own]) - p)[:, None, None] <= delta)
-                predicted = np.add.reduceat(passed.astype(float), starts, axis=0)
-                tp = np.add.reduceat(passed * y[:, None, None], starts, axis=0)
-                f = _fbeta_array(tp, predicted, true[own][:, None, None], beta)
-                for i, ts in enumerate(singleton):
-                    over = best >= ts
-                    sums[i] += f[over].sum(axis=0) + bare[own][~over].sum()
-        points = [sums[place] for place in allowed]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(points)), pa.int32()), pa.array(points, pa.float64()), pa.array([n] * len(points), pa.int64())], names=["point", "f", "n"])
+                country = batch.column("country")
+                for name in country.unique().to_pylist():
+                    part = batch.filter(pc.is_null(country) if name is None else pc.equal(country, name))
+                    if name not in sums:
+                        sums[name], counts[name] = np.zeros((len(singleton), len(match), len(delta))), 0
+                    add(part, sums[name])
+                    counts[name] += part.num_rows
+        for name, own in sums.items():
+            points = [own[place] for place in allowed]
+            columns = [pa.array([name] * len(points), pa.string()), pa.array(range(len(points)), pa.int32()), pa.array(points, pa.float64()), pa.array([counts[name]] * len(points), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["country", "point", "f", "n"])
 
     return run
 
 
-def grid_scores(scored: DataFrame, entities: DataFrame, beta: float = BETA, digits: int = 12) -> DataFrame:
-    """``point, tau_singleton, tau_match, delta_prob, score`` of every point of the grid.
+def _grid_rows(scored: DataFrame, entities: DataFrame, beta: float) -> DataFrame:
+    """``country, point, f, n``: sums per country and point.
 
     An entity's candidates come together once, as arrays of at most the cap; a
-    task then emits one sum per point, and nothing else is shuffled.
+    task then emits one sum per country and point, and nothing else is shuffled.
     """
     lists = scored.groupBy("s1_id").agg(F.collect_list(F.struct("prob", "label")).alias("c"))
-    joined = entities.select("s1_id", "n_true").join(lists, "s1_id", "left")
-    columns = joined.select(F.col("n_true").cast("double").alias("n_true"), F.col("c.prob").alias("p"), F.transform("c.label", lambda y: y.cast("double")).alias("y"))
-    sums = columns.mapInArrow(_grid_sums(beta), "point int, f double, n long").groupBy("point").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
-    points = F.broadcast(grid(scored.sparkSession))
-    return sums.join(points, "point").select("point", "tau_singleton", "tau_match", "delta_prob", F.round(F.when(F.col("n") > 0, F.col("f") / F.col("n")).otherwise(0.0), digits).alias("score"))
+    country = F.col("country") if "country" in entities.columns else F.lit(None).cast("string")
+    joined = entities.select("s1_id", "n_true", country.alias("country")).join(lists, "s1_id", "left")
+    columns = joined.select("country", F.col("n_true").cast("double").alias("n_true"), F.col("c.prob").alias("p"), F.transform("c.label", lambda y: y.cast("double")).alias("y"))
+    return columns.mapInArrow(_grid_sums(beta), "country string, point int, f double, n long")
+
+
+def _pointed(sums: DataFrame, digits: int) -> DataFrame:
+    """Mean scores in place of sums, with the thresholds of each point."""
+    points = F.broadcast(grid(sums.sparkSession))
+    score = F.round(F.when(F.col("n") > 0, F.col("f") / F.col("n")).otherwise(0.0), digits)
+    return sums.join(points, "point").withColumn("score", score).drop("f", "n")
+
+
+def grid_scores(scored: DataFrame, entities: DataFrame, beta: float = BETA, digits: int = 12) -> DataFrame:
+    """``point, tau_singleton, tau_match, delta_prob, score`` of every point of the grid."""
+    sums = _grid_rows(scored, entities, beta).groupBy("point").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    return _pointed(sums, digits).select("point", "tau_singleton", "tau_match", "delta_prob", "score")
 
 
 def best_thresholds(scored: DataFrame, entities: DataFrame, beta: float = BETA) -> DataFrame:
@@ -150,12 +178,14 @@ def best_thresholds(scored: DataFrame, entities: DataFrame, beta: float = BETA)
 
 
 def thresholds_by_country(scored: DataFrame, entities: DataFrame, beta: float = BETA) -> DataFrame:
-    """A ``default`` row over all entities and one for each country."""
-    rows = best_thresholds(scored, entities, beta).withColumn("country", F.lit("default"))
-    for country in [r[0] for r in entities.select("country").distinct().orderBy("country").collect()]:
-        own = best_thresholds(scored.where(F.col("country") == country), entities.where(F.col("country") == country), beta)
-        rows = rows.unionByName(own.withColumn("country", F.lit(country)))
-    return rows.select("country", "tau_singleton", "tau_match", "delta_prob", "score")
+    """A ``default`` row over all entities and one for each country, from one pass over the candidates."""
+    sums = _grid_rows(scored, entities, beta)
+    named = F.when(F.grouping("country") == 1, "default").otherwise(F.col("country"))
+    sums = sums.rollup("point", "country").agg(F.sum("f").alias("f"), F.sum("n").alias("n"), named.alias("name")).where("point is not null and name is not null")
+    scores = _pointed(sums.select("point", F.col("name").alias("country"), "f", "n"), 12)
+    names = ["tau_singleton", "tau_match", "delta_prob", "score"]
+    best = scores.groupBy("country").agg(F.max_by(F.struct(*names), F.struct("score", -F.col("point"))).alias("r"))
+    return best.select("country", *(F.col(f"r.{c}").alias(c) for c in names))
 
 
 def id_lists(pairs: DataFrame, name: str) -> DataFrame:
