@@ -1,15 +1,16 @@
 """The five stages: prepare, candidates, train, evaluate, predict.
 
 Each stage's result is a table under the work folder, named by a key of what it
-was made from, so a stage runs once.  Country is the outer key everywhere, as
-links never cross countries.
+was made from, so a stage runs once.  Keys form a chain: a stage's key is made
+of its parents' keys and of all settings that it reads itself (``KEYS``).
+Country is the outer key everywhere, as links never cross countries.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict
+from dataclasses import asdict, is_dataclass
 
-import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +18,55 @@ from ..config import Config
 from ..functions import fixed_values as fixed
 from ..functions.parsing import normalize_records
 from ..functions.vectors import half_precision
-from ..operators import blocking, decision, embedding, features, lexicon, model, relational
+from ..operators import blocking, decision, diagnostics, embedding, features, lexicon, model, relational
 from ..operators.projector import LEAST_ADDRESS_PAIRS, MOST_TRIPLETS, Projector, train
+from ..session import kept
 from ..sources import tables
 
 VIEWS = {"name": "text_name", "addr": "text_addr"}
 
 
+#: What each kind of result depends on: its parents, and its own settings.
+KEYS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "split": ((), ("holdout", "seed")),
+    "lexicon": (("train", "truth", "split"), ()),
+    "normalized_train": (("lexicon", "train"), ()),
+    "normalized_test": (("lexicon", "test"), ()),
+    "embedder_train": (("normalized_train",), ("dim", "buckets", "fit_sample", "seed")),
+    "embedder_test": (("normalized_test",), ("dim", "buckets", "fit_sample", "seed")),
+    "projector": (("embedder_train", "truth", "split"), ("retrieval", "seed")),
+    "candidates_train": (("embedder_train", "projector"), ("retrieval", "projectors")),
+    "candidates_test": (("embedder_train", "embedder_test", "projector"), ("retrieval", "projectors")),
+    "models": (("candidates_train", "truth", "split"), ("model", "folds", "train_entities", "seed")),
+    "evaluation": (("models", "candidates_train", "truth", "split"), ("seed",)),
+}
+
+
 class Linkage:
-    def __init__(self, spark: SparkSession, config: Config):
-        self.spark, self.config = spark, config
+    """``sample``: train on, and evaluate, so many entities only; their results have keys of their own."""
+
+    def __init__(self, spark: SparkSession, config: Config, sample: int | None = None):
+        self.spark, self.config, self.sample = spark, config, sample
+        self._keys: dict[str, str] = {}
+
+    def key(self, kind: str) -> str:
+        if kind not in self._keys:
+            if kind in ("train", "test"):
+                parts = [tables.file_state(self.spark, self.config.source(kind, i)) for i in (1, 2, 3)]
+            elif kind == "truth":
+                parts = tables.file_state(self.spark, self.config.truth)
+            else:
+                parents, settings = KEYS[kind]
+                own = [getattr(self.config, s) for s in settings]
+                parts = [*map(self.key, parents), *(asdict(x) if is_dataclass(x) else x for x in own)]
+                parts += [tables.NORMALIZER_VERSION] if kind.startswith("normalized") else []
+                parts += [self.sample] if kind in ("models", "evaluation") else []
+            self._keys[kind] = tables.cache_key(kind, parts)
+        return self._keys[kind]
+
+    def path(self, kind: str, *parts: str) -> str:
+        name = tables.cache_key(self.key(kind), *parts) if parts else self.key(kind)
+        return f"{self.config.work}/{kind}/key={name}"
 
     # -- sources ---------------------------------------------------------------------------------
 
@@ -49,16 +89,13 @@ class Linkage:
     # -- prepare ---------------------------------------------------------------------------------
 
     def lexicon(self) -> dict[str, str]:
-        path = f"{self.config.work}/lexicon/key={tables.cache_key(self.config.truth, self.config.holdout, self.config.seed)}"
+        path = self.path("lexicon")
         if not tables.exists(self.spark, path):
             s1, pool = self.raw("train")
             fit = self.links().join(self.members("fit"), "s1_id", "left_semi")
             tables.write_json(self.spark, path, lexicon.learn(lexicon.linked_texts(fit, s1, pool)))
         return tables.read_json(self.spark, path)
 
-    def normalized_key(self) -> str:
-        return tables.cache_key(tables.NORMALIZER_VERSION, self.lexicon())
-
     def normalized(self, split: str) -> DataFrame:
         """Records of a split with ``source`` (s1 or pool), by source and country."""
 
@@ -69,7 +106,7 @@ class Linkage:
 
         # The partition column keeps the label as text, whatever it looks like.
         self.spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        out = tables.cached(self.spark, self.config.work, f"normalized_{split}", self.normalized_key(), make, ["source", "country"])
+        out = tables.cached(self.spark, self.config.work, f"normalized_{split}", self.key(f"normalized_{split}"), make, ["source", "country"])
         return out.withColumn("country", F.coalesce("country", F.lit("")))
 
     def records(self, split: str, source: str, country: str | None = None) -> DataFrame:
@@ -84,8 +121,7 @@ class Linkage:
 
     def embedder(self, split: str, country: str, view: str) -> embedding.Embedder:
         """Fitted on the pool of a country; projectors only fit the embedder they were trained with, so test reuses train's."""
-        key = tables.cache_key(self.normalized_key(), split, country, view, self.config.dim, self.config.buckets, self.config.fit_sample, self.config.seed)
-        path = f"{self.config.work}/embedder/key={key}"
+        path = self.path(f"embedder_{split}", country, view)
         if not tables.exists(self.spark, f"{path}/_SUCCESS"):
             texts = relational.retrieval_texts(self.records(split, "pool", country)).where(F.col(VIEWS[view]) != "")
             embedding.fit(texts, VIEWS[view], self.config.dim, self.config.buckets, self.config.fit_sample, self.config.seed).save(self.spark, path)
@@ -121,8 +157,7 @@ class Linkage:
 
     def projector(self, country: str, view: str) -> Projector | None:
         """None where a country has no training links, or too few pairs with both addresses."""
-        key = tables.cache_key("projector", self.normalized_key(), country, view, asdict(self.config.retrieval), self.config.dim, self.config.buckets, self.config.seed)
-        path = f"{self.config.work}/projector/key={key}"
+        path = self.path("projector", country, view)
         if not tables.exists(self.spark, f"{path}/_SUCCESS"):
             if self.records("train", "s1", country).isEmpty():
                 return None
@@ -130,18 +165,16 @@ class Linkage:
             if view == "addr":
                 rows = rows.where("s1_has_addr and positive_has_addr")
             columns = [f"{role}_{view}_vec" for role in ("s1", "positive", "negative")]
-            # Bounded by MOST_TRIPLETS: a fixed sample to fit on.
-            sample = rows.select(*columns).collect()
-            if not sample or (view == "addr" and len(sample) <= LEAST_ADDRESS_PAIRS):
+            # Bounded by MOST_TRIPLETS: a fixed sample to fit on, as Arrow columns of floats.
+            sample = rows.select(*(F.col(c).cast("array<float>").alias(c) for c in columns)).toArrow()
+            if not sample.num_rows or (view == "addr" and sample.num_rows <= LEAST_ADDRESS_PAIRS):
                 own = Projector.identity(self.config.dim, seed=self.config.seed)
             else:
-                own = train(*(np.array([r[c] for r in sample]) for c in columns), seed=self.config.seed)
+                own = train(*(pc.list_flatten(sample[c]).to_numpy().reshape(sample.num_rows, -1) for c in columns), seed=self.config.seed)
             own.save(self.spark, path)
         return Projector.load(self.spark, path)
 
     def candidates(self, split: str) -> DataFrame:
-        key = tables.cache_key(self.normalized_key(), split, asdict(self.config.retrieval), self.config.dim, self.config.buckets, self.config.projectors)
-
         def make() -> DataFrame:
             out = None
             for country in tables.countries(self.records(split, "s1")):
@@ -150,7 +183,7 @@ class Linkage:
                 out = own if out is None else out.unionByName(own)
             return out
 
-        return tables.cached(self.spark, self.config.work, f"candidates_{split}", key, make)
+        return tables.cached(self.spark, self.config.work, f"candidates_{split}", self.key(f"candidates_{split}"), make)
 
     # -- train, evaluate, predict ----------------------------------------------------------------
 
@@ -159,18 +192,15 @@ class Linkage:
         return features.build(self.records(split, "s1"), self.records(split, "pool"), candidates).join(countries, ["s1_id", "pool_id"])
 
     def models(self) -> list:
-        path = f"{self.config.work}/models/key={self.model_key()}"
+        path = self.path("models")
         if not tables.exists(self.spark, f"{path}/done/_SUCCESS"):
             self.train()
         return model.load(path, self.config.folds)
 
-    def model_key(self) -> str:
-        return tables.cache_key(self.normalized_key(), asdict(self.config.retrieval), asdict(self.config.model), self.config.folds, self.config.train_entities, self.config.dim, self.config.projectors)
-
-    def train(self, sample: int | None = None) -> dict[str, float]:
+    def train(self) -> dict[str, float]:
         """Fold models over a sample of fit entities' candidates; returns the features' importances."""
-        path = f"{self.config.work}/models/key={self.model_key()}"
-        fit = relational.exact_sample(self.members("fit"), "s1_id", sample or self.config.train_entities, self.config.seed)
+        path = self.path("models")
+        fit = relational.exact_sample(self.members("fit"), "s1_id", self.sample or self.config.train_entities, self.config.seed)
         chosen = self.candidates("train").join(fit, "s1_id", "left_semi")
         rows = relational.with_labels(self.features("train", chosen), relational.checked_owners(self.links()))
         rows.write.mode("overwrite").parquet(f"{path}/rows")
@@ -184,7 +214,7 @@ class Linkage:
 
     def out_of_fold(self) -> DataFrame:
         self.models()
-        return self.spark.read.parquet(f"{self.config.work}/models/key={self.model_key()}/oof")
+        return self.spark.read.parquet(f"{self.path('models')}/oof")
 
     def scores(self, split: str, entities: DataFrame | None = None) -> DataFrame:
         """``s1_id, pool_id, country, prob`` after exclusive assignment; training entities have their out-of-fold probability."""
@@ -196,17 +226,17 @@ class Linkage:
             scored = relational.override(scored, self.out_of_fold())
         return decision.exclusive_assignment(scored)
 
-    def evaluate(self, sample: int | None = None) -> dict:
+    def evaluate(self) -> dict:
         """Thresholds from one half of the held-out entities, scores on the other."""
         held = self.split().where("split = 'holdout'").select(F.col("entity_id").alias("s1_id"), "half")
-        if sample:
-            held = relational.exact_sample(held, "s1_id", sample, self.config.seed + 99)
+        if self.sample:
+            held = relational.exact_sample(held, "s1_id", self.sample, self.config.seed + 99)
         countries = self.records("train", "s1").select(F.col("entity_id").alias("s1_id"), "country")
         n_links = self.links().groupBy("s1_id").agg(F.count("*").alias("n_true"))
         entities = held.join(countries, "s1_id").join(n_links, "s1_id", "left").fillna(0, ["n_true"])
         # Held-out and fit entities compete for pool records, so all are scored unless a sample is asked for.
-        scored = self.scores("train", held.select("s1_id") if sample else None).join(held, "s1_id")
-        path = f"{self.config.work}/evaluation/key={tables.cache_key(self.model_key(), sample)}"
+        scored = self.scores("train", held.select("s1_id") if self.sample else None).join(held, "s1_id")
+        path = self.path("evaluation")
         relational.with_labels(scored, relational.checked_owners(self.links())).write.mode("overwrite").parquet(f"{path}/scored")
         scored = self.spark.read.parquet(f"{path}/scored")
         tune, report = (F.col("half") == half for half in ("tune", "report"))
@@ -221,34 +251,33 @@ class Linkage:
         held_links = self.links().join(held, "s1_id", "left_semi")
         stats = blocking.blocking_stats(decided, held_links, entities, self.records("train", "pool").count()).first().asDict()
         result = {"macro_f": macro, "blocking": stats, "thresholds": [r.asDict() for r in thresholds.collect()], "entities": entities.count()}
-        tables.write_json(self.spark, f"{self.config.work}/report", result)
-        tables.write_json(self.spark, f"{self.config.work}/thresholds", result["thresholds"])
+        tables.write_json(self.spark, f"{path}/report", result)
         return result
 
     def thresholds(self) -> DataFrame:
-        if not tables.exists(self.spark, f"{self.config.work}/thresholds"):
-            self.evaluate()
-        rows = [(r["country"], r["tau_singleton"], r["tau_match"], r["delta_prob"]) for r in tables.read_json(self.spark, f"{self.config.work}/thresholds")]
+        report = f"{self.path('evaluation')}/report"
+        found = tables.read_json(self.spark, report) if tables.exists(self.spark, f"{report}/_SUCCESS") else self.evaluate()
+        rows = [(r["country"], r["tau_singleton"], r["tau_match"], r["delta_prob"]) for r in found["thresholds"]]
         return self.spark.createDataFrame(rows, "country string, tau_singleton double, tau_match double, delta_prob double")
 
-    def predict(self) -> None:
-        """Writes both submission tables of the test split."""
+    def predict(self) -> dict:
+        """Writes both submission tables of the test split; returns the matches' statistics by country."""
         decided = decision.select_by_country(self.scores("test"), self.thresholds())
-        matches = decided.where("selected").select("s1_id", "pool_id")
+        matches = kept(decided.where("selected").select("s1_id", "pool_id"), "matches")
         tables.write_submission(self.records("test", "s1"), self.candidates("test"), matches, self.config.output)
+        entities = self.records("test", "s1").select(F.col("entity_id").alias("s1_id"), "country")
+        return {r["country"]: r.asDict() for r in diagnostics.match_stats(entities, matches).collect()}
 
 
 STAGES = ["prepare", "candidates", "train", "evaluate", "predict"]
 
 
 def run(spark: SparkSession, config: Config, stages: list[str] | None = None, sample: int | None = None) -> dict:
-    job, out = Linkage(spark, config), {}
+    job, out = Linkage(spark, config, sample), {}
     for stage in stages or STAGES:
         if stage == "candidates":
             for split in ("train", "test"):
                 job.candidates(split)
-        elif stage in ("train", "evaluate"):
-            out[stage] = getattr(job, stage)(sample)
-        else:
-            getattr(job, stage)()
+        elif (found := getattr(job, stage)()) is not None:
+            out[stage] = found
     return out

@@ -57,6 +57,16 @@ def cache_key(*parts) -> str:
     return hashlib.md5(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:10]
 
 
+def file_state(spark: SparkSession, path: str) -> list:
+    """Path, length and time of change of a source, part of the key of what is made from it; a missing one has its path alone."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return [path]
+    status = fs.getFileStatus(where)
+    return [path, fs.getContentSummary(where).getLength(), status.getModificationTime()]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)

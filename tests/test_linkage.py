@@ -155,6 +155,66 @@ def test_owner_must_be_unique(spark):
 def test_row_numbers(spark):
     rows = relational.row_numbers(spark.range(100).repartition(7), "id").collect()
     assert all(r["id"] == r["row_no"] for r in rows)
+    n = 1_500_000
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scattered = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40)) * 2 + 1).alias("x"), "id").withColumn("x", F.concat("x", F.lit("-"), "id"))
+    numbered = relational.row_numbers(scattered.select("x").repartition(9), "x")
+    found = numbered.agg(F.min("row_no"), F.max("row_no"), F.countDistinct("row_no"), F.count("*")).first()
+    assert tuple(found) == (0, n - 1, n, n)
+    pairs = relational.negatives_with_replacement(spark.range(2000).select(F.col("id").cast("string").alias("a")), scattered, "a", "x")
+    assert pairs.count() == 2000
+    assert relational.row_numbers(spark.range(0), "id").collect() == []
+
+
+def test_quantiles(spark, monkeypatch):
+    from matchloom.operators import diagnostics
+
+    monkeypatch.setattr(diagnostics, "GATHERED", 5)
+    monkeypatch.setattr(diagnostics, "CUTS", 8)
+    rng = np.random.default_rng(1)
+    for values in (rng.standard_normal(999), np.round(rng.random(500), 1), np.array([3.0]), np.concatenate((np.full(400, 0.5), rng.random(30)))):
+        df = spark.createDataFrame([(float(x),) for x in values], "v double")
+        assert np.allclose(diagnostics.quantiles(df, "v", [0.0, 0.1, 0.5, 0.95, 1.0]), np.quantile(values, [0.0, 0.1, 0.5, 0.95, 1.0]))
+    assert diagnostics.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_more_diagnostics(spark):
+    from matchloom.operators import diagnostics
+
+    links = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "s1_id string, pool_id string")
+    wide = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "q")], "s1_id string, pool_id string")
+    rows = {r["variant"]: r for r in diagnostics.recall_comparison(links, {"plain": wide.limit(1), "wide": wide, "none": wide.limit(0)}).collect()}
+    assert [rows[v]["found"] for v in ("plain", "wide", "none")] == [1, 2, 0] and rows["wide"]["recall"] == pytest.approx(2 / 3) and rows["wide"]["pairs"] == 3
+    s1 = spark.createDataFrame([("a", "n1"), ("b", "n2")], "entity_id string, name string")
+    pool = spark.createDataFrame([("z", "n3")], "entity_id string, name string")
+    missed = diagnostics.miss_records(relational.missed_links(links, wide), s1, pool).collect()
+    assert [r.asDict() for r in missed] == [{"s1_id": "b", "pool_id": "z", "s1_name": "n2", "pool_name": "n3"}]
+    entities = spark.createDataFrame([("a", "US"), ("b", "US"), ("c", "FR")], "s1_id string, country string")
+    stats = {r["country"]: tuple(r)[1:] for r in diagnostics.match_stats(entities, links).collect()}
+    assert stats == {"US": (2, 0, 3, 1.5), "FR": (1, 1, 0, 0.0)}
+
+
+def test_every_setting_changes_the_keys(spark, tmp_path):
+    from dataclasses import replace
+
+    from matchloom.config import Config
+    from matchloom.plans.linkage import KEYS, Linkage
+
+    base = Config(data=str(tmp_path))
+    keys = lambda config, sample=None: {k: Linkage(spark, config, sample).key(k) for k in KEYS}
+    first = keys(base)
+    changed = {
+        "data": f"{tmp_path}/other", "dim": 64, "buckets": 512, "fit_sample": 10, "train_entities": 10, "holdout": 0.3, "folds": 3, "seed": 1, "projectors": False,
+        "retrieval": replace(base.retrieval, margin=0.2), "model": replace(base.model, depth=3),
+    }
+    where = {"dim": "embedder_train", "buckets": "embedder_test", "fit_sample": "candidates_train", "train_entities": "models", "holdout": "lexicon", "folds": "models", "seed": "candidates_test", "projectors": "candidates_test", "retrieval": "projector", "model": "models", "data": "lexicon"}
+    for name, value in changed.items():
+        now = keys(replace(base, **{name: value}))
+        assert now["evaluation"] != first["evaluation"] and now[where[name]] != first[where[name]], name
+    sampled = keys(base, 5)
+    assert sampled["models"] != first["models"] and sampled["candidates_test"] == first["candidates_test"]
+    (tmp_path / "train_truth.tsv").write_text("x")
+    assert keys(base)["lexicon"] != first["lexicon"]
 
 
 def test_embedder_and_projector(spark, tmp_path):
@@ -215,7 +275,7 @@ def test_features(spark):
 
 def business(rng):
     first = rng.choice(["Acme", "Great", "Blue", "River", "Summit", "Golden", "Royal", "Union", "Pioneer", "Harbor"])
-    second = rng.choice(["Foods", "Impex", "Motors", "Therapy", "Electric", "Marketing", "Textiles", "Pharma", "Tools", "Books"])
+    second = rng.choice(["Foods", "Imports", "Motors", "Therapy", "Electric", "Marketing", "Textiles", "Pharma", "Tools", "Books"])
     return f"{first} {second} {rng.choice(['Alpha', 'Beta', 'Gamma', 'Delta', 'Omega'])}"
 
 
@@ -244,7 +304,9 @@ def test_stages(spark, tmp_path):
         if split == "train":
             (tmp_path / "train_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join("\t".join(r) + "\n" for r in truth) + "\t\n")
     config = Config(data=str(tmp_path), work=f"{tmp_path}/work", output=f"{tmp_path}/out", dim=8, buckets=512, folds=2, holdout=0.4, projectors=True, model=Boosting(depth=3, rounds=4, least_rows=1))
-    report = run(spark, config)["evaluate"]
+    done = run(spark, config)
+    report = done["evaluate"]
+    assert done["predict"]["US"]["entities"] == 40
     assert report["blocking"]["recall"] > 0.9 and report["macro_f"]["all"] > 0.5
     matched = {r[0]: r[1] or "" for r in tables.read_tsv(spark, f"{tmp_path}/out/matched_entity_ids").collect()}
     offered = {r[0]: (r[1] or "").split(",") for r in tables.read_tsv(spark, f"{tmp_path}/out/candidate_entity_ids").collect()}
