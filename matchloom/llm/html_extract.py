@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Rows, slices
 
-_TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[!?/][^>]*>)""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,63})")
+_SPECIAL = re.compile("[>\"']")
 _LOOSE = re.compile(r"</?[a-zA-Z][^<>]*>?")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -62,45 +64,114 @@ WEIGHT = {"article": 25, "main": 15, "div": 5, "section": 5, "blockquote": 3, "p
 _PARAGRAPH = {"p", "pre", "blockquote", "td", "div", "section", "article", "main", "body", "html", "li", "dd", "center", "figcaption", "h2", "h3"}
 
 
+#: Elements open at once; deeper ones stand beside what would hold them, as in browsers.
+DEPTH = 512
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "size", "links", "commas", "points")
+    __slots__ = ("tag", "attrs", "parent", "children", "depth", "size", "links", "commas", "points")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.size = self.links = self.commas = 0
         self.points = 0.0
 
 
+class TagEnds:
+    """Where tags end: the next ``>`` outside quotes.  Places are looked at once, so any page takes time by its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.known: dict[int, int] = {}  # by the place of a sign that is met outside quotes
+        self.last = source.rfind(">")
+        self.seen = (0, -1)  # no sign between the two
+
+    def _sign(self, at: int) -> int:
+        begun, sign = self.seen
+        if not begun <= at <= sign:
+            m = _SPECIAL.search(self.source, at)
+            sign = m.start() if m else len(self.source)
+            self.seen = (at, sign)
+        return sign
+
+    def after(self, at: int) -> int:
+        """The place, or -1 where a quote or the tag doesn't end."""
+        if at > self.last:
+            return -1
+        path, end = [], -1
+        while (sign := self._sign(at)) < len(self.source):
+            if sign in self.known:
+                end = self.known[sign]
+                break
+            path.append(sign)
+            if self.source[sign] == ">":
+                end = sign
+                break
+            close = self.source.find(self.source[sign], sign + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.known.update(dict.fromkeys(path, end))
+        return end
+
+
+def _closes(here: Node, root: Node, tag: str) -> Node:
+    """Where a new element of this kind goes: implied ends come first."""
+    if tag in _CLOSES_P:
+        node = here
+        while node is not None and node.tag not in ("p", "button", "td", "th", "table"):
+            if node.tag in BLOCK:
+                node = None
+                break
+            node = node.parent
+        if node is not None and node.tag == "p":
+            here = node.parent
+    if tag in IMPLIED:
+        ended, scope = IMPLIED[tag]
+        node, last = here, None
+        while node is not None and node.tag not in scope:
+            if node.tag in ended:
+                last = node
+            node = node.parent
+        if last is not None:
+            here = last.parent
+    return here
+
+
 def parse(source: str) -> Node:
     root = Node("html", "", None)
     at, here, n = 0, root, len(source)
-    depth = 0
+    ends, beside = TagEnds(source), Counter()
     while at < n:
         open_ = source.find("<", at)
         if open_ < 0:
             here.children.append(source[at:])
             break
-        m = _TAG.match(source, open_)
         if open_ > at:
             here.children.append(source[at:open_])
+        if source.startswith("<!--", open_):
+            end = source.find("-->", open_ + 2)
+            at = n if end < 0 else end + 3
+            continue
+        m = _NAME.match(source, open_)
         if not m:
-            loose = _LOOSE.match(source, open_)  # a quote that never ends, or the page is cut off inside a tag
-            if loose is None:
+            # A declaration, an end without a name, or a sign like any other.
+            end = source.find(">", open_) if source[open_ + 1 : open_ + 2] in ("!", "?", "/") and open_ < ends.last else -1
+            if end < 0:
                 here.children.append("<")
-                at = open_ + 1
-            else:
-                at = loose.end()
+            at = open_ + 1 if end < 0 else end + 1
             continue
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if source.startswith("<!--", open_):
-                end = source.find("-->", open_ + 2)
-                at = n if end < 0 else end + 3
+        end = ends.after(m.end())
+        if end < 0:  # a quote that never ends, or the page is cut off inside a tag
+            at = _LOOSE.match(source, open_).end()
             continue
-        tag = name.lower()
+        attrs, tag, at = source[m.end() : end], m[2].lower(), end + 1
         if m[1]:
+            if beside[tag]:
+                beside[tag] -= 1
+                continue
             node = here
             while node is not None and node.tag != tag:
                 node = node.parent
@@ -111,36 +182,20 @@ def parse(source: str) -> Node:
             continue
         if tag == "html":
             continue
-        if tag in _CLOSES_P:
-            node = here
-            while node is not None and node.tag not in ("p", "button", "td", "th", "table"):
-                if node.tag in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.tag == "p":
-                here = node.parent
-        if tag in IMPLIED:
-            ended, scope = IMPLIED[tag]
-            node, last = here, None
-            while node is not None and node.tag not in scope:
-                if node.tag in ended:
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        child = Node(tag, m[3], here)
+        here = _closes(here, root, tag)
+        child = Node(tag, attrs, here)
         here.children.append(child)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
-            if end is None:
+            close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
+            if close is None:
                 break
-            close = source.find(">", end.end())
-            at = n if close < 0 else close + 1
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = child
-        elif tag not in VOID and tag in BLOCK:
-            here = child
+            end = source.find(">", close.end())
+            at = n if end < 0 else end + 1
+        elif tag not in VOID and (tag in BLOCK or not attrs.endswith("/")):
+            if child.depth < DEPTH:
+                here = child
+            else:
+                beside[tag] += 1
     return root
 
 
