@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,29 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import plain_unions
+from ..session import plain_unions, remove, shared_dir
 
 #: Python output is sent back to the JVM once a batch holds about this much.
 FLUSH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may run without the setting; it then gets a folder of
-    its own for the life of the session.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("matchloom.shared.dir", None)
-    if where:
-        return where.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master.startswith("local") and "cluster" not in master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    where = f"file://{tempfile.mkdtemp(prefix='matchloom-')}"
-    spark.conf.set("matchloom.shared.dir", where)
-    return where
-
-
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows per Arrow batch than Spark's default: rows here are whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -67,10 +49,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
-        with contextlib.suppress(Exception):
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, f"{self.root}/{name}" if name else self.root)
 
     def close(self) -> None:
         self.drop()

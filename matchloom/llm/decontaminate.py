@@ -6,8 +6,10 @@ pattern with a space at both ends, so matches start and end at words; one scan
 of a document finds all patterns at once, overlapping ones included.  Matches
 are mapped back to the words' places in the original text.
 
-The items travel to the executors as patterns, at most ``part_bytes`` at a time;
-a benchmark beyond that is scanned for in several parts whose hits are merged.
+The items travel to the executors as patterns of ``part_bytes`` at most, for one
+automaton.  A benchmark beyond that is scanned for in parts, one automaton and
+one pass over the documents each, whose hits are merged; neither the driver nor
+a task ever holds more than one part.
 
 Defined cases: a null text has no words; a null or wordless item has no
 patterns; an item of fewer than ten words is one pattern; items with equal
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, slices
+from ..session import plain_unions
+from .common import Rows, Scratch, kept_in_worker, slices
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,15 +48,11 @@ def patterns(b: bytes, size: int) -> Iterator[bytes]:
         yield b" %b " % b" ".join(w[i : i + size])
 
 
-def item_patterns(items: DataFrame, size: int, part_bytes: int) -> list[list[tuple]]:
-    """Parts of (pattern, its length in words, item ids).
-
-    The items are read part after part, so the driver never holds more than one
-    part's texts besides the patterns it ships.
-    """
-    parts: list[list[tuple]] = []
+def item_patterns(items: DataFrame, size: int, part_bytes: int) -> Iterator[list[tuple]]:
+    """Parts of (pattern, its length in words, item ids); at least one, which may be empty."""
     own: dict[bytes, list] = {}
-    held = 0
+    held, first = 0, True
+    whole = lambda: [(p, p.count(b" ") - 1, ids) for p, ids in own.items()]
     rows = items.where("item_id is not null").select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("b")).toLocalIterator()
     for row in rows:
         for p in patterns(bytes(row["b"]), size):
@@ -64,27 +63,34 @@ def item_patterns(items: DataFrame, size: int, part_bytes: int) -> list[list[tup
             elif ids[-1] != row["item_id"]:
                 ids.append(row["item_id"])
         if held >= part_bytes:
-            parts.append([(p, p.count(b" ") - 1, ids) for p, ids in own.items()])
-            own, held = {}, 0
-    if own or not parts:
-        parts.append([(p, p.count(b" ") - 1, ids) for p, ids in own.items()])
-    return parts
+            yield whole()
+            own, held, first = {}, 0, False
+    if own or first:
+        yield whole()
+
 
+def shared_parts(items: DataFrame, size: int, part_bytes: int) -> list:
+    """Each part as a broadcast variable of its own: (digest of what it holds, patterns)."""
+    spark = items.sparkSession
+    out = []
+    for table in item_patterns(items, size, part_bytes):
+        digest = hashlib.blake2b(repr(table).encode(), digest_size=16).hexdigest()
+        out.append(spark.sparkContext.broadcast((digest, table)))
+    return out
 
-_BUILT: dict[int, ahocorasick.Automaton] = {}
 
+def automaton(digest: str, table: list[tuple]) -> ahocorasick.Automaton:
+    """Built once in a Python worker, known by what it is made of."""
 
-def automaton(key: int, table: list[tuple]) -> ahocorasick.Automaton:
-    """Built once in a Python worker; only the last one stays."""
-    if key not in _BUILT:
-        _BUILT.clear()
+    def build():
         built = ahocorasick.Automaton()
         for i, (pattern, n, _) in enumerate(table):
             built.add_word(pattern.decode("latin-1"), (i, n))
         if table:
             built.make_automaton()
-        _BUILT[key] = built
-    return _BUILT[key]
+        return built
+
+    return kept_in_worker(f"automaton {digest}", build)
 
 
 _SCANNED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("items", pa.list_(pa.string()))])
@@ -96,15 +102,15 @@ def _spans(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"s": int(s), "e": int(e)} for s, e in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1))]
 
 
-def scanner(shared, part: int):
-    """Rows of ``doc_id, b`` to words and the spans of words that a part's patterns hit."""
+def scanner(shared):
+    """Rows of ``doc_id, row, b`` to words and the spans of words that a part's patterns hit."""
 
     def scan(batches):
-        table = shared.value[part]
-        find = automaton(id(shared.value) + part, table)
+        digest, table = shared.value
+        find = automaton(digest, table)
         out = Rows(_SCANNED)
         for rows in slices(batches):
-            for doc, b in zip(rows["doc_id"], rows["b"]):
+            for doc, row, b in zip(rows["doc_id"], rows["row"], rows["b"]):
                 w = words(b)
                 spans, items = [], set()
                 if table and w:
@@ -119,7 +125,7 @@ def scanner(shared, part: int):
                         spans = _spans(np.cumsum(steps[:-1]) > 0)
                         for i in {i for _, (i, _) in found}:
                             items.update(map(str, table[i][2]))
-                if out.add(doc, 0, len(w), spans, sorted(items), size=96 + 16 * len(spans)):
+                if out.add(doc, row, len(w), spans, sorted(items), size=96 + 16 * len(spans)):
                     yield out.batch()
         yield out.batch()
 
@@ -128,16 +134,16 @@ def scanner(shared, part: int):
 
 def scan(docs: DataFrame, items: DataFrame, size: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
     """Per document: ``doc_id, n_words, spans`` (of words, from 0, end excluded) and ``items`` (ids as sorted strings)."""
-    spark = docs.sparkSession
-    parts = item_patterns(items, size, part_bytes)
+    plain_unions(docs.sparkSession)
+    parts = shared_parts(items, size, part_bytes)
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("b"))
     if len(parts) == 1:
-        return own.mapInArrow(scanner(spark.sparkContext.broadcast(parts), 0), SCANNED).drop("row")
+        return own.select("doc_id", F.lit(0).cast("long").alias("row"), "b").mapInArrow(scanner(parts[0]), SCANNED).drop("row")
     # Rows that repeat an id are told apart by their text, and by how often both come.
     own = own.groupBy("doc_id", "b").agg(F.count("*").alias("times"))
     scanned = None
-    for i, part in enumerate(parts):
-        one = own.withColumn("row", F.xxhash64("b")).select("doc_id", "b", "row").mapInArrow(_with_row(spark.sparkContext.broadcast({i: part}), i), SCANNED)
+    for part in parts:
+        one = own.select("doc_id", F.xxhash64("b").alias("row"), "b").mapInArrow(scanner(part), SCANNED)
         scanned = one if scanned is None else scanned.unionByName(one)
     merged = scanned.groupBy("doc_id", "row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
@@ -147,19 +153,6 @@ def scan(docs: DataFrame, items: DataFrame, size: int = 10, part_bytes: int = 16
     return times.join(merged, ["doc_id", "row"]).select("doc_id", "n_words", "spans", "items")
 
 
-def _with_row(shared, part: int):
-    inner = scanner(shared, part)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                one = batch.slice(at, 1)
-                for out in inner([one.select(["doc_id", "b"])]):
-                    yield pa.RecordBatch.from_arrays([out.column("doc_id"), one.column("row"), *out.columns[2:]], schema=_SCANNED)
-
-    return run
-
-
 def _merge(spans: str):
     """Overlapping or touching spans of several parts as single ones."""
     ordered = F.array_sort(F.array_distinct(spans))
@@ -184,63 +177,36 @@ def report(docs: DataFrame, items: DataFrame, size: int = 10, **limits) -> DataF
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
-    """The documents that no pattern hits; columns stay, and texts don't move."""
-    parts = docs.sparkSession.sparkContext.broadcast(item_patterns(items, size, part_bytes))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            text = pa.array([(t or "").encode() for t in batch.column(at).to_pylist()], pa.binary())
-            ids = pa.array(np.arange(batch.num_rows), pa.int64())
-            for part in range(len(parts.value)):
-                for out in scanner(parts, part)([pa.RecordBatch.from_arrays([ids, text], names=["doc_id", "b"])]):
+    """The documents that no pattern hits; columns stay, and texts don't move.
+
+    Each part of the benchmark filters what the parts before it have left, from a
+    written table, so that no two automata are in memory.
+    """
+    spark, at = docs.sparkSession, docs.columns.index("text")
+    parts = shared_parts(items, size, part_bytes)
+    scratch = Scratch(spark, "clean") if len(parts) > 1 else None
+
+    def run(shared):
+        def keep(batches):
+            find = scanner(shared)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                text = pa.array([(t or "").encode() for t in batch.column(at).to_pylist()], pa.binary())
+                ids = pa.array(np.arange(batch.num_rows), pa.int64())
+                for out in find([pa.RecordBatch.from_arrays([ids, ids, text], names=["doc_id", "row", "b"])]):
                     clean[[i for i, found in zip(out.column("doc_id").to_pylist(), out.column("spans").to_pylist()) if found]] = False
-            yield batch.filter(pa.array(clean))
+                yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+        return keep
+
+    for i, part in enumerate(parts):
+        if i:
+            docs = scratch.keep(docs, str(i))
+        docs = docs.mapInArrow(run(part), docs.schema)
+    return docs
 
 
 def text_spans(b: bytes, spans: list) -> list[tuple[int, int]]:
     """Places in the original bytes of spans of words."""
     at = [m.span() for m in WORD.finditer(b)]
     return [(at[s["s"]][0], at[s["e"] - 1][1]) for s in spans]
-
-
-def strip_hits(docs: DataFrame, items: DataFrame, size: int = 10, part_bytes: int = 16 << 20) -> DataFrame:
-    """The documents with hit passages cut out of their texts; columns stay.
-
-    A passage goes from its first hit word to its last; the rest stays as it
-    is.  A document of which no word is left goes.
-    """
-    parts = docs.sparkSession.sparkContext.broadcast(item_patterns(items, size, part_bytes))
-    at = docs.columns.index("text")
-    sized = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-    def cut(batches):
-        for batch in batches:
-            text = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            ids = pa.array(np.arange(len(text)), pa.int64())
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for part in range(len(parts.value)):
-                for out in scanner(parts, part)([pa.RecordBatch.from_arrays([ids, pa.array(text, pa.binary())], names=["doc_id", "b"])]):
-                    for i, found in zip(out.column("doc_id").to_pylist(), out.column("spans").to_pylist()):
-                        if found:
-                            spans.setdefault(i, []).extend(text_spans(text[i], found))
-            keep = np.ones(len(text), bool)
-            new = {at: batch.column(at).to_pylist()} | ({sized: batch.column(sized).to_pylist()} if sized is not None else {})
-            for i, found in spans.items():
-                left, place = [], 0
-                for s, e in sorted(found):
-                    left.append(text[i][place:s])
-                    place = max(place, e)
-                whole = b"".join((*left, text[i][place:]))
-                keep[i] = WORD.search(whole) is not None
-                new[at][i] = whole.decode()
-                if sized is not None:
-                    new[sized][i] = len(new[at][i])
-            for column, values in new.items():
-                batch = batch.set_column(column, batch.schema.field(column), pa.array(values, batch.schema.field(column).type))
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(cut, docs.schema)
