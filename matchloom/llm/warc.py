@@ -13,9 +13,11 @@ payload's.
 
 Defined cases: a null html is an empty payload; a null url leaves the target
 out; control characters and spaces in a url are percent-encoded; rows without a
-page_id are left out; rows that repeat a page_id and payload are one record,
-those that repeat only the page_id are a record each (equal payloads refer to
-the largest id); an empty table gives no rows; other columns are ignored.
+page_id are left out; rows that repeat a page_id have a record each, told apart
+by a number after the id in ``WARC-Record-ID`` (the first of a file has none),
+and ``Reader.record`` gives the first; of rows with one page_id and payload all
+are responses, or all revisit the largest id; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,8 +49,9 @@ _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URL = re.compile(r"[\x00-\x20\x7f]")
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:x-page:{page_id}>"
+def record_id(page_id: int, copy: str = "") -> str:
+    """``copy`` tells rows that repeat a page_id apart."""
+    return f"<urn:x-page:{page_id}{copy and f'#{copy}'}>"
 
 
 def digest(payload: bytes) -> str:
@@ -56,10 +59,10 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE, copy: str = "") -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, copy)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + _URL.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
@@ -156,10 +159,11 @@ def with_references(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     own = own.withColumns({"key": F.sha2("html", 256), "size": F.octet_length("html")})
-    # Ids only: the html is not shuffled, and a common payload is combined before the shuffle.
+    # Only keys and ids are shuffled to find copies, and a common payload is combined before the shuffle.
     last = own.groupBy("key").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last").select("key", "last")
     # Rows with a copy are found by key; all others need no join partner.
     revisits = own.where(F.col("size") >= least).select("page_id", "key").join(last, "key").where("page_id < last").select("page_id", F.col("key").alias("k_key"), "last").distinct()
+    # The html itself moves once, to the revisits' ids; where they are few, Spark broadcasts them and it stays.
     joined = own.join(revisits.withColumnRenamed("page_id", "k_id"), (F.col("page_id") == F.col("k_id")) & (F.col("key") == F.col("k_key")), "left")
     return joined.select("page_id", "url", "html", F.col("last").alias("refers_to"))
 
@@ -170,13 +174,14 @@ def write(pages: DataFrame, folder: str, least: int = 0, frame_bytes: int = FRAM
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        part, out, n = TaskContext.get().partitionId(), None, 0
+        part, out, n, seen = TaskContext.get().partitionId(), None, 0, set()
         uri = f"{folder}/part-{part:06d}.warc.zst"
         for rows in slices(batches, 64):
             if out is None:
                 out = Writer(uri, frame_bytes)
             for page, url, html, refers_to in zip(*rows.values()):
-                out.add(page, record(page, url, html.encode(), refers_to))
+                out.add(page, record(page, url, html.encode(), refers_to, copy=f"{part}-{n}" if page in seen else ""))
+                seen.add(page)
                 n += 1
         if out is not None:
             out.close()
@@ -190,7 +195,7 @@ _FULL = pa.schema([*_READ, ("url", pa.string()), ("payload", pa.binary())])
 
 
 def _page(name: str | None) -> int | None:
-    return int(name.removeprefix("<urn:x-page:").removesuffix(">")) if name else None
+    return int(name.removeprefix("<urn:x-page:").removesuffix(">").partition("#")[0]) if name else None
 
 
 def read(files: DataFrame, with_payload: bool = False) -> DataFrame:
