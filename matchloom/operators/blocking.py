@@ -99,16 +99,19 @@ def blocking_stats(candidates: DataFrame, links: DataFrame, entities: DataFrame,
     return both.select(recall.alias("recall"), "captured", "total", "mean_candidates", "p95_candidates", reduction.alias("reduction_ratio"))
 
 
-def inverted_index(records: DataFrame, queries: DataFrame, cap: int = 1500, top: int = 50, min_length: int = 3) -> DataFrame:
+def inverted_index(records: DataFrame, queries: DataFrame, cap: int | None = 1500, top: int = 50, min_length: int = 3) -> DataFrame:
     """Pairs by shared words, within a country: ``s1_id, pool_id, hits, rank``.
 
     Both sides have ``id, country, text``.  A word that more than ``cap``
-    records of a country have says too little to bring them together.
+    records of a country have says too little to bring them together; without a
+    cap, all words count.  Only words that a query has are counted and joined.
     """
     words = lambda d: d.select("id", "country", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: F.length(w) >= min_length))).alias("word"))
-    indexed = words(records)
-    rare = indexed.groupBy("country", "word").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("country", "word")
-    indexed = indexed.join(rare, ["country", "word"]).withColumnRenamed("id", "s1_id")
-    hits = words(queries).withColumnRenamed("id", "pool_id").join(indexed, ["country", "word"]).groupBy("s1_id", "pool_id").agg(F.count("*").alias("hits"))
+    asked = words(queries).withColumnRenamed("id", "pool_id")
+    indexed = words(records).join(asked.select("country", "word").distinct(), ["country", "word"], "left_semi")
+    if cap is not None:
+        rare = indexed.groupBy("country", "word").agg(F.count("*").alias("n")).where(F.col("n") <= cap).select("country", "word")
+        asked = asked.join(rare, ["country", "word"])
+    hits = indexed.withColumnRenamed("id", "s1_id").join(asked, ["country", "word"]).groupBy("s1_id", "pool_id").agg(F.count("*").alias("hits"))
     by = Window.partitionBy("pool_id").orderBy(F.desc("hits"), "s1_id")
     return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)

@@ -255,6 +255,14 @@ for _label, _a, _b in (("indel_ratio", "a", "b"), ("token_sort", "array_to_strin
     ORACLE_SQL[f"sim_{_label}"] = f"{_PAIRS_SQL}, s AS (SELECT a, b, {_a} AS x, {_b} AS y FROM pairs) SELECT a, b, round(2.0 * {_lcs_sql('x', 'y')} / (length(x) + length(y)), 6) AS score FROM s"
 
 
+_REST = "array_to_string(list_sort(list_filter({0}, lambda x: NOT list_contains({1}, x))), ' ')"
+ORACLE_SQL["sim_token_set"] = f"""{_PAIRS_SQL}, w AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS u, list_distinct(string_split(b, ' ')) AS v FROM pairs),
+r AS (SELECT a, b, {_REST.format("u", "v")} AS x, {_REST.format("v", "u")} AS y, length(array_to_string(list_sort(list_intersect(u, v)), ' ')) AS c FROM w),
+g AS (SELECT *, CAST(c > 0 AS INTEGER) AS gap, length(x) AS m, length(y) AS n FROM r)
+SELECT a, b, round(CASE WHEN c > 0 AND (x = '' OR y = '') THEN 1.0 ELSE greatest(1 - (m + n - 2.0 * {_lcs_sql('x', 'y')}) / (2 * (c + gap) + m + n),
+CASE WHEN c > 0 THEN greatest(1 - 1.0 * (gap + m) / (2 * c + gap + m), 1 - 1.0 * (gap + n) / (2 * c + gap + n)) ELSE 0.0 END) END, 6) AS score FROM g"""
+
+
 # -- retrieval on vectors ------------------------------------------------------------------------
 
 
@@ -571,6 +579,41 @@ def inverted_index_blocking(spark, sf_dir):
     return blocking.inverted_index(docs, items).withColumn("rank", F.col("rank").cast("long"))
 
 
+# -- the forty features --------------------------------------------------------------------------
+
+
+def _business_records(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The vectors' records with names of parts and addresses from their numbers; a pool record writes them a little differently."""
+    names = read(spark, sf_dir, "part").select("p_name").distinct()
+    # A few dozen names, numbered in order.
+    names = names.select((F.row_number().over(Window.orderBy("p_name")) - 1).alias("k"), "p_name")
+    out = []
+    for rows, ending, road in zip(records(spark, sf_dir), ("Inc", "Limited"), ("Street", "ST")):
+        k = F.pmod(F.col("n"), F.lit(64)) if ending == "Inc" else F.pmod(F.col("n") - 1, F.lit(64))
+        named = rows.withColumn("k", k.cast("int")).join(F.broadcast(names), "k", "left")
+        address = F.concat_ws(", ", F.concat_ws(" ", F.floor(F.col("n") / 10).cast("string"), F.lit("Quarry"), F.lit(road)), F.element_at(F.array(*map(F.lit, _STATES)), (F.col("part").cast("int") % 10 + 1)))
+        out.append(named.select(F.col("id").alias("entity_id"), F.concat_ws(" ", F.coalesce("p_name", F.lit("Plain")), F.lit(ending)).alias("business_name"), F.when(F.col("n") % 7 != 0, address).otherwise("").alias("business_address"), F.lit("US").alias("country")))
+    return out[0], out[1]
+
+
+@query()
+def pair_features(spark, sf_dir):
+    """All forty features of all stand-in candidates; tests hold them against the scorers one by one."""
+    s1, pool = (normalize_records(x) for x in _business_records(spark, sf_dir))
+    rows = features.build(s1, pool, candidates(spark, sf_dir))
+    return rows.select("s1_id", "pool_id", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in fixed.FEATURES))
+
+
+@query(f"""WITH {CANDIDATES_SQL}, x AS (SELECT s1_id, pool_id, ret_cos, CAST(substr(s1_id, 4) AS BIGINT) AS n, CAST(substr(pool_id, 4) AS BIGINT) AS m FROM cands),
+f AS (SELECT s1_id, pool_id, CAST(n // 10 AS VARCHAR) AS h, CAST(m // 10 AS VARCHAR) AS g, n % 7 = 0 AS se, m % 7 = 0 AS ce FROM x)
+SELECT s1_id, pool_id, CAST(se AS BIGINT) AS addr_s1_empty, CAST(ce AS BIGINT) AS addr_cand_empty, CAST(NOT se AND NOT ce AS BIGINT) AS addr_both_present, CAST(CASE WHEN se OR ce THEN 0 WHEN h = g THEN 1 ELSE -1 END AS BIGINT) AS addr_house_state,
+CAST(CASE WHEN se OR ce OR h = '0' OR g = '0' THEN 0 WHEN h = g THEN 1 ELSE -1 END AS BIGINT) AS addr_nums_overlap, -1::BIGINT AS name_legal_state, CAST(substr(pool_id, 1, 2) = 'S2' AS BIGINT) AS cand_is_s2, 0::BIGINT AS cand_has_indic FROM f""")
+def pair_features_native(spark, sf_dir):
+    """Those of the features that SQL can tell from the records' numbers."""
+    names = ["addr_s1_empty", "addr_cand_empty", "addr_both_present", "addr_house_state", "addr_nums_overlap", "name_legal_state", "cand_is_s2", "cand_has_indic"]
+    return pair_features(spark, sf_dir).select("s1_id", "pool_id", *(F.col(c).cast("long").alias(c) for c in names))
+
+
 # -- parsing, learning: no SQL form --------------------------------------------------------------
 
 #: Invented records: an alias, a domain, a post box and a padded number, a state before the end, an Indic script, a department.
@@ -604,15 +647,22 @@ def lexicon_learn(spark, sf_dir):
 
 @query()
 def svd_embedding(spark, sf_dir):
-    names = read(spark, sf_dir, "part").select("p_name").distinct()
-    return embedding.embed(names, "p_name", embedding.fit(names, "p_name", dim=16, buckets=4096), "v")
+    """Whole documents, with the dimensions and buckets of production."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return embedding.embed(docs, "text", embedding.fit(docs, "text"), "v").select("doc_id", "v")
 
 
 @query()
 def projector_forward(spark, sf_dir):
-    """An untrained projector leaves unit vectors as they are."""
+    """All vectors by a projector trained on the stand-in triplets."""
     rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    own = projector.Projector.identity(64)
+    s1, pool = records(spark, sf_dir)
+    found = relational.triplets(links(spark, sf_dir), candidates(spark, sf_dir))
+    for role, side in (("s1", s1), ("positive", pool), ("negative", pool)):
+        found = found.join(side.select(F.col("id").alias(f"{role}_id"), F.col("name_vec").alias(role)), f"{role}_id")
+    # At most as many as any projector is fitted on.
+    sample = found.orderBy("s1_id", "positive_id").limit(projector.MOST_TRIPLETS).select("s1", "positive", "negative").toArrow()
+    own = projector.train(*(np.array(sample[c].to_pylist(), np.float32) for c in sample.column_names), seed=42)
 
     def run(batches):
         import pyarrow as pa
