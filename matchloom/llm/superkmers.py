@@ -318,7 +318,7 @@ def _settle(unique: DataFrame, units, solve, across: bool, scratch: Scratch, hot
     return solved.unionByName(joined.groupBy("digest").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
-def repeated_spans(docs: DataFrame, units, solve, across: bool, scratch: Scratch, hot_bytes: int = 8 << 20, block_bytes: int = 1 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, units, solve, across: bool, scratch: Scratch, hot_bytes: int = 4 << 20, block_bytes: int = 1 << 19) -> DataFrame:
     """``doc_id, th, marks``: for each document, where its repeated windows start.
 
     ``docs`` has ``doc_id, th, b``.  ``across`` true: a window repeats if it
