@@ -1,8 +1,10 @@
 """Connected components over links, without a node that sees them all.
 
-Large-star and small-star rounds (Kiveris et al., 2014) hang every node under
-smaller neighbours until each component is a star around its smallest node.
-Each round is a written table, so lost executors cost one round at most.
+Tasks fold the links that they hold, ``FOLD`` at most, to stars.  Where that
+leaves more than one task's links, large-star and small-star rounds (Kiveris et
+al., 2014) hang every node under smaller neighbours, and so on until each
+component is a star around its smallest node.  Each round is a written table, so
+lost executors cost one round at most.
 """
 
 from __future__ import annotations
@@ -61,6 +63,9 @@ class Links:
         return stars
 
 
+#: Links that one task folds, 16 MB.
+FOLD = 1 << 20
+
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -80,6 +85,11 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         if mark == before or not mark[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before, turn = mark, turn + 1
+        tasks = -(-mark[0] // FOLD)
+        folded = scratch.keep(edges.coalesce(tasks).mapInArrow(_fold, "a long, b long"), f"{name}-folded-{turn}")
+        if tasks == 1:  # it has seen all links
+            return folded.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        edges = folded
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -88,5 +98,5 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
         joined = down.join(least, "a")
         small = joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = scratch.keep(small.distinct(), f"{name}-{turn}")
-        if turn > 1:
-            scratch.drop(f"{name}-{turn - 2}")
+        scratch.drop(f"{name}-{turn - 1}")
+        scratch.drop(f"{name}-folded-{turn - 1}")
