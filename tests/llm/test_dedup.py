@@ -69,13 +69,13 @@ def test_runs_cover_every_window_once(texts, units):
         assert all((a == b).all() for a, b in zip(alone, (mini, first, n, at)))
 
 
-@given(st.lists(st.text("ab", min_size=8, max_size=60).map(str.encode), min_size=2, max_size=5), st.sampled_from([3, 1 << 20]))
-@settings(max_examples=200, deadline=None)
-def test_interval_expansion(strings, hot):
+@given(st.lists(st.text("ab", min_size=8, max_size=60).map(str.encode), min_size=2, max_size=5), st.sampled_from([3, 1 << 20]), st.sampled_from([5, 12, 30]))
+@settings(max_examples=300, deadline=None)
+def test_interval_expansion(strings, hot, k):
     """Buckets of super-k-mers, also cut into groups; the windows found are those that occur more than once."""
     from collections import Counter, defaultdict
 
-    units = superkmers.Bytes(12, 4)
+    units = superkmers.Bytes(k, 4)
     buckets: dict = defaultdict(Counter)
     places = defaultdict(list)
     for i, (s, (mini, first, n, at)) in enumerate(zip(strings, superkmers.runs(units, strings))):
@@ -164,7 +164,9 @@ def test_forest(links):
     assert dict(zip(child.tolist(), root.tolist())) == {n: c for n, c in expected.items() if n != c}
 
 
-def test_components_of_a_chain(spark, scratch):
+@pytest.mark.parametrize("most", [1 << 20, 20])
+def test_components_of_a_chain(spark, scratch, monkeypatch, most):
+    monkeypatch.setattr("matchloom.llm.components.FOLD", most)
     n = 200
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").repartition(7)
     assert got(components(chain, scratch)) == [(i, 0) for i in range(1, n + 1)]
