@@ -3,8 +3,9 @@
 Candidate regions come from the super-k-mer rounds (a 400-byte string that
 occurs twice lies, both times, in a region with the same minimiser).  Regions
 that still differ are joined to one text per block; its Burrows-Wheeler
-transform is expanded breadth first: from the interval of the empty string, all
-intervals are extended backward by one byte per round.  The round in which a
+transform is expanded breadth first: from the intervals of all strings of a few
+bytes, which the sort has on its way, intervals are extended backward by one
+byte per round.  The round in which a
 suffix first becomes an interval's right end is its longest common prefix with
 the suffix before it, so these prefixes come by increasing value, and the
 expansion stops at the minimum length: whatever has no value by then shares at
@@ -33,64 +34,87 @@ from .superkmers import Bytes, covered, groups, repeated_spans, spans_of
 GAP = 256
 
 
-def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
+#: Symbols of the strings whose intervals the expansion starts from.
+FIRST = 21
+
+
+def suffix_order(s: np.ndarray, depth: int) -> tuple[np.ndarray, int, np.ndarray]:
     """Suffixes of ``s`` (its last symbol unique and least) by their first ``depth`` symbols or more.
 
-    Prefix doubling; a round sorts only suffixes that are still tied.  How ties
-    beyond ``depth`` fall has no effect on intervals of shorter strings.
+    Known prefixes grow threefold (twofold if three ranks don't fit one word); a
+    round sorts only suffixes that are still tied.  How ties beyond ``depth``
+    fall has no effect on intervals of shorter strings.  Also a length, ``FIRST``
+    at most, and where suffixes begin that differ from the one before within it.
     """
     n = len(s)
     wide = np.zeros(n + 8, np.uint64)
     wide[:n] = s
     key = wide[:n].copy()
-    for j in range(1, 7):  # 7 symbols of 9 bits
+    size = min(7, depth - 1)  # 7 symbols of 9 bits
+    for j in range(1, size):
         key = (key << np.uint64(9)) | wide[j : n + j]
     order = np.argsort(key)
     held = key[order]
     new = np.concatenate(([True], held[1:] != held[:-1]))
     rank = np.zeros(n + 1, np.int64)  # 0 beyond the end
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))
-    size = 7
+    bits = n.bit_length()
+    times = 3 if 3 * bits <= 63 else 2
+    first, edges = size, np.flatnonzero(new)
     at = np.flatnonzero(~new | ~np.append(new[1:], True))
     while size < depth and len(at):
         own = order[at]
-        key = (rank[own] << 32) | rank[np.minimum(own + size, n)]
+        key = rank[own]
+        for j in range(1, times):
+            key = (key << bits) | rank[np.minimum(own + j * size, n)]
         by = np.argsort(key)
         own, key = own[by], key[by]
         fresh = np.concatenate(([True], key[1:] != key[:-1]))
         order[at] = own
         rank[own] = np.maximum.accumulate(np.where(fresh, at + 1, 0))
+        if size * times <= min(FIRST, depth - 1):
+            new[at] = fresh
+            first, edges = size * times, np.flatnonzero(new)
         at = at[~fresh | ~np.append(fresh[1:], True)]
-        size *= 2
-    return order
+        size *= times
+    return order, first, edges
+
 
+def shared_at_least(s: np.ndarray, order: np.ndarray, first: int, edges: np.ndarray, least: int) -> np.ndarray:
+    """Whether each suffix in ``order`` shares ``least`` symbols or more with the one before it.
 
-def shared_at_least(s: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """Whether each suffix in ``order`` shares ``least`` symbols or more with the one before it."""
+    ``edges``: where the intervals of the strings of ``first`` symbols begin.
+    """
     n = len(s)
     bwt = s[order - 1].astype(np.int64)
     step_to = np.empty(n, np.int64)  # the last-to-first mapping
     step_to[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)
+    # How far one symbol runs on in the transform: an interval within a run steps as a whole.
+    ends = np.append(np.flatnonzero(bwt[1:] != bwt[:-1]) + 1, n)
+    run_end = np.repeat(ends, np.diff(ends, prepend=0))
     known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(least):
-        sizes = high - low
-        single = sizes == 1
-        new_low = step_to[low[single]]
-        new_high = new_low + 1
-        if not single.all():
-            low, sizes = low[~single], sizes[~single]
+    low, high = edges, np.append(edges[1:], n)
+    known[low] = known[n] = True
+    for _ in range(first, least):
+        even = run_end[low] >= high
+        new_low = step_to[low[even]]
+        new_high = new_low + (high[even] - low[even])
+        if not even.all():
+            low, sizes = low[~even], (high - low)[~even]
             own = np.repeat(np.arange(len(low)), sizes)
             rows = np.arange(len(own)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
             # One symbol's rows keep their order, so its interval runs from its least target to its greatest.
-            target = step_to[rows]
-            key = own * 512 + bwt[rows]
-            by = np.argsort(key)
-            key, target = key[by], target[by]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            new_low = np.concatenate((new_low, np.minimum.reduceat(target, first)))
-            new_high = np.concatenate((new_high, np.maximum.reduceat(target, first) + 1))
+            key = (own * 512 + bwt[rows]) * n + step_to[rows] if len(low) * 512 * n < 1 << 62 else None
+            if key is not None:
+                key.sort()
+                target, key = key % n, key // n
+            else:
+                key = own * 512 + bwt[rows]
+                by = np.argsort(key, kind="stable")
+                key, target = key[by], step_to[rows][by]
+            change = key[1:] != key[:-1]
+            new_low = np.concatenate((new_low, target[np.flatnonzero(np.append(True, change))]))
+            new_high = np.concatenate((new_high, target[np.flatnonzero(np.append(change, True))] + 1))
         # Distinct strings of one length have distinct intervals, so no end comes twice in a round.
         fresh = ~known[new_high]
         low, high = new_low[fresh], new_high[fresh]
@@ -150,8 +174,8 @@ def interval_expansion(units: Bytes):
             parts += [part, gap, part, gap] if twice else [part, gap]
             at += (len(part) + 1) * (1 + twice)
         s = np.concatenate((*parts, np.array([-1], np.int32))) + 1  # below 2**31 symbols: a block is bounded
-        order = suffix_order(s, units.k + 1)
-        same = shared_at_least(s, order, units.k)
+        order, first, edges = suffix_order(s, units.k + 1)
+        same = shared_at_least(s, order, first, edges, units.k)
         repeats = np.zeros(len(s), bool)
         repeats[order[same]] = True
         repeats[order[np.flatnonzero(same) - 1]] = True
@@ -165,11 +189,14 @@ def interval_expansion(units: Bytes):
     return solve
 
 
-def repeated_bytes(docs: DataFrame, scratch: Scratch, k: int = 400, m: int = 64, **limits) -> DataFrame:
-    """``doc_id, th, b, marks`` of all documents; marks as in ``superkmers.repeated_spans``."""
+def repeated_bytes(docs: DataFrame, scratch: Scratch, k: int = 400, m: int = 64, hot_bytes: int = 1 << 20, **limits) -> DataFrame:
+    """``doc_id, th, b, marks`` of all documents; marks as in ``superkmers.repeated_spans``.
+
+    ``hot_bytes`` bounds what a block's arrays hold: some hundred bytes for each of its own.
+    """
     units = Bytes(k, m)
     own = texts(docs)
-    marks = repeated_spans(own, units, interval_expansion(units), False, scratch, **limits)
+    marks = repeated_spans(own, units, interval_expansion(units), False, scratch, hot_bytes=hot_bytes, **limits)
     return own.join(marks, ["doc_id", "th"], "left")
 
 
