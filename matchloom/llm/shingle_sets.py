@@ -13,8 +13,9 @@ with the nearest by sketch of another component, so that large groups come
 together without their pairs; then all pairs that are left are.  Only pairs
 compared by their whole sets link, and no near pair is left out.
 
-The order is by a shingle's frequency in a sample, then by hash: any order gives
-the same links, rare shingles first make few pairs.
+The order is by a shingle's frequency over all documents, in so many places that
+shingles share them, then by hash: any order gives the same links, rare shingles
+first make few pairs.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import without_shuffles
 from .common import Scratch, fresh_worker, slices, texts
 from .components import components
 from .simhash import fingerprint, links, shingle_hashes
 
-#: Shingles are counted in so many places over about so many documents.
-PLACES, SAMPLE = 1 << 22, 20000
+#: Shingles are counted in so many places; counts go about in parts of so many.
+PLACES, PART = 1 << 22, 1 << 12
 #: Bits of a set's sketch, in words of 64.
 BITS = 512
 WORDS = [f"s{i}" for i in range(BITS // 64)]
@@ -43,9 +45,7 @@ BLOCK, MANY = 1 << 18, 64
 
 
 def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How many documents of a sample have a shingle that falls in each of ``PLACES``; bounded whatever the data."""
-    own = texts(docs)
-    every = max(1, own.count() // SAMPLE)
+    """How many shingles of documents, each once a document, fall in each of ``PLACES``, 65,535 at most; bounded whatever the data."""
 
     def count(batches):
         fresh_worker()
@@ -53,16 +53,31 @@ def frequencies(docs: DataFrame, shingle: int) -> np.ndarray:
         for part in slices(batches):
             for b in part["b"]:
                 np.add.at(out, (np.unique(shingle_hashes(b, shingle)) % np.uint64(PLACES)).astype(np.int64), 1)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["place", "n"])
+        yield _parts(range(PLACES // PART), out.reshape(-1, PART))
 
-    sample = own.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(every)) == 0)
-    got = sample.mapInArrow(count, "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist()):
+                n = np.frombuffer(pa.decompress(packed, 2 * PART, codec="zstd"), np.uint16)
+                total[at] = total.get(at, 0) + n.astype(np.int64)
+        yield _parts(total, total.values())
+
+    found = texts(docs).select("b").mapInArrow(count, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary")
+    with without_shuffles(docs.sparkSession):
+        got = found.toArrow()
     out = np.zeros(PLACES, np.uint16)
-    out[got["place"].to_numpy()] = np.minimum(got["n"].to_numpy(), 65535)
+    for at, packed in zip(got["at"].to_pylist(), got["n"].to_pylist()):
+        out[at * PART : (at + 1) * PART] = np.frombuffer(pa.decompress(packed, 2 * PART, codec="zstd"), np.uint16)
     return out
 
 
+def _parts(ats, counts) -> pa.RecordBatch:
+    """Counts as a row for each part, packed."""
+    packed = [(at, pa.compress(np.minimum(n, 65535).astype(np.uint16).tobytes(), codec="zstd", asbytes=True)) for at, n in zip(ats, counts) if n.any()]
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int32()), pa.array([p[1] for p in packed], pa.binary())], names=["at", "n"])
+
+
 def sketch(distinct: np.ndarray) -> np.ndarray:
     """Parities of how many hashes fall in each of ``BITS`` places, as signed words: a hash that only one set has changes one bit."""
     odd = np.bincount((distinct >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1

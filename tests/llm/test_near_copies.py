@@ -92,6 +92,16 @@ def test_pairs_of_one_shingle():
             assert ((i, j) in set(got)) == (comp[i] != comp[j] and 18 * differ <= 2 * (n[i] + n[j]) and 10 * min(n[i], n[j]) >= 8 * max(n[i], n[j]) and 18 * min(n[i], n[j]) >= 8 * (n[i] + n[j]))
 
 
+def test_frequencies_of_all_documents(spark, rows, monkeypatch):
+    monkeypatch.setattr(shingle_sets, "SAMPLE", 5, raising=False)
+    docs = table(spark, [r[1] or "" for r in rows])
+    expected = np.zeros(shingle_sets.PLACES, np.int64)
+    for r in rows:
+        places = np.unique(simhash.shingle_hashes((r[1] or "").encode(), 5)) % np.uint64(shingle_sets.PLACES)
+        np.add.at(expected, places.astype(np.int64), 1)
+    assert np.array_equal(shingle_sets.frequencies(docs, 5), expected)
+
+
 def test_shuffle_files_go_with_the_table(spark, scratch):
     files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(",").split(","))
     before = files()
