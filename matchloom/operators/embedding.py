@@ -1,14 +1,18 @@
 """Character n-gram embeddings: hashed TF-IDF, then a truncated SVD.
 
 Document frequencies come from Spark aggregates.  The factors are found by a
-randomized range finder on a bounded sample of texts and shipped to the
-executors, which embed texts in Arrow batches.
+randomized range finder on a bounded sample of texts, whose gram counts are
+written once; executors multiply them, the driver holds only matrices of buckets
+by dimensions.  The factors are shipped to the executors, which embed texts in
+Arrow batches.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import remove, shared_dir, without_shuffles
+
 BUCKETS = 1 << 14
 SAMPLE = 200_000
+#: Texts that are worked on at once, tasks over the sample, buckets in a row of a matrix on its way, words remembered.
+ROWS, TASKS, PART, WORDS = 256, 16, 64, 1 << 16
 
 
 def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
@@ -31,25 +39,73 @@ def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
     return out
 
 
+_GRAMS: dict[str, np.ndarray] = {}
+
+
+def _hashes(word: str) -> np.ndarray:
+    found = _GRAMS.get(word)
+    if found is None:
+        if len(_GRAMS) >= WORDS:
+            _GRAMS.clear()
+        found = np.array([zlib.crc32(g.encode()) for g in grams(word)], np.int64)
+        if len(word) <= 64:
+            _GRAMS[word] = found
+    return found
+
+
 def counts(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and count of all grams of a batch of texts."""
-    rows, places, memo = [], [], {}
-    for i, text in enumerate(texts):
-        for gram in grams(text):
-            place = memo.get(gram)
-            if place is None:
-                place = memo[gram] = zlib.crc32(gram.encode()) % buckets
-            rows.append(i)
-            places.append(place)
-    key, n = np.unique(np.array(rows, np.int64) * buckets + np.array(places, np.int64), return_counts=True) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return key // buckets, key % buckets, n
-
-
-def _weights(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, place, n = counts(texts, len(idf))
+    words = [Counter(text.lower().split()) for text in texts]
+    parts = [_hashes(w) for own in words for w in own]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    times = np.fromiter((n for own in words for n in own.values()), np.int64, len(parts))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    row = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+    key = np.repeat(row, sizes) * buckets + np.concatenate(parts) % buckets
+    n = np.repeat(times, sizes)
+    if len(texts) * buckets <= 4 * len(key):
+        total = np.bincount(key, n, len(texts) * buckets)
+        key = np.flatnonzero(total)
+        return key // buckets, key % buckets, total[key].astype(np.int64)
+    key, place = np.unique(key, return_inverse=True)
+    return key // buckets, key % buckets, np.bincount(place, n).astype(np.int64)
+
+
+def _weigh(row: np.ndarray, place: np.ndarray, n: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
     w = (1 + np.log(n)) * idf[place] if len(n) else np.empty(0)
-    norm = np.sqrt(np.bincount(row, w * w, minlength=len(texts)))
-    return row, place, w / norm[row] if len(w) else w
+    norm = np.sqrt(np.bincount(row, w * w, minlength=rows))
+    return w / norm[row] if len(w) else w
+
+
+class Sparse:
+    """Rows of weights, ordered by row: dense if many places are filled."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, rows: int, buckets: int):
+        self.row, self.place, self.w, self.rows, self.buckets = row, place, w, rows, buckets
+        self.dense = None
+        if 32 * len(row) > rows * buckets:
+            self.dense = np.zeros((rows, buckets), np.float32)
+            self.dense[row, place] = w
+
+    def _sums(self, to: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        """Rows of ``values`` summed by ``to``, which ascends."""
+        out = np.zeros((size, values.shape[1]))
+        if len(to):
+            cuts = np.flatnonzero(np.diff(to, prepend=-1))
+            out[to[cuts]] = np.add.reduceat(values, cuts)
+        return out
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense @ x.astype(np.float32, copy=False)
+        return self._sums(self.row, x[self.place] * self.w[:, None], self.rows)
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        if self.dense is not None:
+            return self.dense.T @ y
+        by = np.argsort(self.place, kind="stable")
+        return self._sums(self.place[by], y[self.row[by]] * self.w[by, None], self.buckets)
 
 
 @dataclass
@@ -60,11 +116,11 @@ class Embedder:
     factors: np.ndarray
 
     def transform(self, texts: list[str]) -> np.ndarray:
-        row, place, w = _weights(texts, self.idf)
-        out = np.zeros((len(texts), self.factors.shape[1]))
-        for at in range(0, len(row), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            np.add.at(out, row[part], self.factors[place[part]] * w[part, None])
+        buckets, out = len(self.idf), np.zeros((len(texts), self.factors.shape[1]))
+        for at in range(0, len(texts), ROWS):
+            part = texts[at : at + ROWS]
+            row, place, n = counts(part, buckets)
+            out[at : at + ROWS] = Sparse(row, place, _weigh(row, place, n, len(part), self.idf), len(part), buckets).apply(self.factors)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
@@ -84,9 +140,10 @@ def document_frequency(texts: DataFrame, text_col: str, buckets: int) -> tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(buckets, np.int64), 0
         for batch in batches:
-            values = [t or "" for t in batch.column(0).to_pylist()]
-            n += len(values)
-            total += np.bincount(counts(values, buckets)[1], minlength=buckets)
+            n += batch.num_rows
+            for at in range(0, batch.num_rows, ROWS):
+                values = [t or "" for t in batch.column(0).slice(at, ROWS).to_pylist()]
+                total += np.bincount(counts(values, buckets)[1], minlength=buckets)
         place = np.append(np.flatnonzero(total), -1)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(total[total > 0], n))], names=["place", "n"])
 
@@ -101,35 +158,85 @@ def document_frequency(texts: DataFrame, text_col: str, buckets: int) -> tuple[n
     return df, n
 
 
+_PACKED = pa.schema([("place", pa.binary()), ("n", pa.binary())])
+
+
+def _pack(buckets: int):
+    """A text's buckets, as steps from one to the next, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                values = batch.column(0).slice(at, ROWS).to_pylist()
+                row, place, n = counts(values, buckets)
+                cuts = np.searchsorted(row, np.arange(len(values) + 1))
+                own = [(np.diff(place[i:j], prepend=0).astype("<u4").tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], pa.binary()) for k in (0, 1)], schema=_PACKED)
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[Sparse]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            steps, n = ([np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(k).slice(at, ROWS).to_pylist()] for k in (0, 1))
+            row, place, n = np.repeat(np.arange(len(n)), [len(x) for x in n]), np.concatenate([np.cumsum(x) for x in steps]), np.concatenate(n)
+            yield Sparse(row, place, _weigh(row, place, n, len(steps), idf), len(steps), len(idf))
+
+
+def _product(sample: DataFrame, idf: np.ndarray, x: np.ndarray, square: bool) -> np.ndarray:
+    """With A the sample's weights, A' A x, or x' A' A x (``square``); tasks add up their rows, the sums of tasks meet by parts."""
+    shared = sample.sparkSession.sparkContext.broadcast((idf, x.astype(np.float32)))
+    shape = pa.schema([("part", pa.int32()), ("v", pa.binary())])
+
+    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, x = shared.value
+        total = np.zeros((x.shape[1] if square else len(x), x.shape[1]))
+        for own in _unpacked(batches, idf):
+            y = own.apply(x)
+            total += y.T.astype(float) @ y if square else own.back(y)
+        yield rows({at: total[at : at + PART] for at in range(0, len(total), PART)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, v in zip(*(c.to_pylist() for c in batch.columns)):
+                total[at] = total.get(at, 0) + np.frombuffer(v)
+        yield rows(total)
+
+    summed = sample.coalesce(TASKS).mapInArrow(run, "part int, v binary").repartition(TASKS, "part").mapInArrow(add, "part int, v binary")
+    with without_shuffles(sample.sparkSession):
+        got = summed.toArrow()
+    shared.destroy()
+    out = np.zeros((x.shape[1] if square else len(x), x.shape[1]))
+    for at, v in zip(got["part"].to_pylist(), got["v"].to_pylist()):
+        out[at : at + PART] = np.frombuffer(v).reshape(-1, x.shape[1])
+    return out
+
+
 def fit(texts: DataFrame, text_col: str, dim: int = 128, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = 42, rounds: int = 4) -> Embedder:
-    """Frequencies over all texts; factors from a seeded sample of at most ``sample``."""
+    """Frequencies over all texts; factors from all, or from a seeded sample of about ``sample`` if there are more."""
+    spark = texts.sparkSession
     df, n = document_frequency(texts, text_col, buckets)
     idf = np.log((1 + n) / (1 + df)) + 1
-    chosen = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy(F.xxhash64("t", F.lit(seed)), "t").limit(sample)
-    values = [r["t"] for r in chosen.collect()]
-    row, place, w = _weights(values, idf)
-
-    def apply(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(values), x.shape[1]))
-        for at in range(0, len(row), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            np.add.at(out, row[part], x[place[part]] * w[part, None])
-        return out
-
-    def back(y: np.ndarray) -> np.ndarray:
-        out = np.zeros((buckets, y.shape[1]))
-        for at in range(0, len(row), 1 << 18):
-            part = slice(at, at + (1 << 18))
-            np.add.at(out, place[part], y[row[part]] * w[part, None])
-        return out
-
-    dim = max(1, min(dim, len(values), buckets))
-    q = np.random.default_rng(seed).standard_normal((buckets, dim + 10))
-    for _ in range(rounds):
-        q = np.linalg.qr(back(np.linalg.qr(apply(q))[0]))[0]
-    small = apply(q)
-    _, _, vt = np.linalg.svd(small, full_matrices=False)
-    factors = q @ vt[:dim].T
+    chosen = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    if n > sample:
+        chosen = chosen.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 32)) < (sample << 32) // n)
+    path = f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
+    try:
+        chosen.mapInArrow(_pack(buckets), "place binary, n binary").write.option("compression", "zstd").parquet(path)
+        held = spark.read.schema("place binary, n binary").parquet(path)
+        dim = max(1, min(dim, held.count(), buckets))
+        q = np.random.default_rng(seed).standard_normal((buckets, dim + 10))
+        for _ in range(rounds):
+            q = np.linalg.qr(_product(held, idf, q, False))[0]
+        _, vectors = np.linalg.eigh(_product(held, idf, q, True))
+    finally:
+        remove(spark, path)
+    factors = q @ vectors[:, ::-1][:, :dim]
     signs = np.sign(factors[np.abs(factors).argmax(axis=0), np.arange(factors.shape[1])])
     return Embedder(idf, factors * signs)
 
@@ -142,8 +249,8 @@ def embed(rows: DataFrame, text_col: str, embedder: Embedder, name: str, project
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, then = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 v = own.transform([t or "" for t in part.column(at).to_pylist()])
                 v = then.transform(v) if then is not None else v
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel().astype(np.float32)))
