@@ -25,8 +25,8 @@ from ..session import remove, shared_dir, without_shuffles
 
 BUCKETS = 1 << 14
 SAMPLE = 200_000
-#: Texts that are worked on at once, tasks over the sample, buckets in a row of a matrix on its way, words remembered.
-ROWS, TASKS, PART, WORDS = 256, 16, 64, 1 << 16
+#: Texts that are worked on at once, tasks over the sample, buckets in a row of a matrix on its way.
+ROWS, TASKS, PART = 256, 16, 64
 
 
 def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
@@ -39,30 +39,51 @@ def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
     return out
 
 
-_GRAMS: dict[str, np.ndarray] = {}
-
-
-def _hashes(word: str) -> np.ndarray:
-    found = _GRAMS.get(word)
-    if found is None:
-        if len(_GRAMS) >= WORDS:
-            _GRAMS.clear()
-        found = np.array([zlib.crc32(g.encode()) for g in grams(word)], np.int64)
-        if len(word) <= 64:
-            _GRAMS[word] = found
-    return found
+#: CRC-32 by bytes, as zlib's.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
+
+
+def _hashes(words: list[str], low: int = 2, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """CRC-32 of all grams of words, word by word, and how many each has."""
+    data = np.frombuffer("".join(f" {w} " for w in words).encode(), np.uint8)
+    offset = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
+    chars = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    word, end = np.repeat(np.arange(len(words)), chars), np.repeat(np.cumsum(chars), chars)
+    found, whose = [], []
+    for n in range(low, high + 1):
+        i = np.flatnonzero(np.arange(len(word)) + n <= end)
+        at, until = offset[i], offset[i + n]
+        crc = np.full(len(i), 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            crc = _CRC[(crc ^ data[at + k]) & 0xFF] ^ (crc >> 8)
+        more = np.flatnonzero(at + n < until)  # characters of several bytes
+        k = n
+        while len(more):
+            crc[more] = _CRC[(crc[more] ^ data[at[more] + k]) & 0xFF] ^ (crc[more] >> 8)
+            k += 1
+            more = more[at[more] + k < until[more]]
+        found.append(crc ^ np.uint32(0xFFFFFFFF))
+        whose.append(word[i])
+    whose = np.concatenate(whose)
+    return np.concatenate(found)[np.argsort(whose, kind="stable")].astype(np.int64), np.bincount(whose, minlength=len(words))
 
 
 def counts(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and count of all grams of a batch of texts."""
     words = [Counter(text.lower().split()) for text in texts]
-    parts = [_hashes(w) for own in words for w in own]
-    if not parts:
+    index: dict[str, int] = {}
+    ids = np.array([index.setdefault(w, len(index)) for own in words for w in own], np.int64)
+    if not len(ids):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    times = np.fromiter((n for own in words for n in own.values()), np.int64, len(parts))
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    places, many = _hashes(list(index))
+    places %= buckets
+    times = np.fromiter((n for own in words for n in own.values()), np.int64, len(ids))
+    sizes = many[ids]
+    at = np.arange(sizes.sum()) + np.repeat((np.cumsum(many) - many)[ids] - (np.cumsum(sizes) - sizes), sizes)
     row = np.repeat(np.arange(len(texts)), [len(own) for own in words])
-    key = np.repeat(row, sizes) * buckets + np.concatenate(parts) % buckets
+    key = np.repeat(row * buckets, sizes) + places[at]
     n = np.repeat(times, sizes)
     if len(texts) * buckets <= 4 * len(key):
         total = np.bincount(key, n, len(texts) * buckets)
@@ -134,48 +155,46 @@ class Embedder:
         return Embedder(np.array(next(r["v"] for r in rows if r["kind"] == "idf")), np.array([r["v"] for r in rows if r["kind"] == "factor"]).T)
 
 
-def document_frequency(texts: DataFrame, text_col: str, buckets: int) -> tuple[np.ndarray, int]:
-    """Texts per bucket over the whole table, and the number of texts; ``buckets`` rows come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(buckets, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for at in range(0, batch.num_rows, ROWS):
-                values = [t or "" for t in batch.column(0).slice(at, ROWS).to_pylist()]
-                total += np.bincount(counts(values, buckets)[1], minlength=buckets)
-        place = np.append(np.flatnonzero(total), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(total[total > 0], n))], names=["place", "n"])
-
-    rows = texts.select(text_col).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(buckets, np.int64)
-    n = 0
-    for r in rows:
-        if r["place"] < 0:
-            n = r["n"]
-        else:
-            df[r["place"]] = r["n"]
-    return df, n
+_PACKED = pa.schema([("task", pa.bool_()), ("place", pa.binary()), ("n", pa.binary())])
 
 
-_PACKED = pa.schema([("place", pa.binary()), ("n", pa.binary())])
+def _packed(place: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Buckets, as steps from one to the next, and their counts."""
+    return np.diff(place, prepend=0).astype("<u4").tobytes(), n.astype("<u4").tobytes()
 
 
 def _pack(buckets: int):
-    """A text's buckets, as steps from one to the next, and their counts."""
+    """A row for each text of the sample (``t, chosen``), and for each task how many of all its texts have a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                values = batch.column(0).slice(at, ROWS).to_pylist()
+                values, chosen = (c.slice(at, ROWS).to_pylist() for c in batch.columns)
                 row, place, n = counts(values, buckets)
+                total += np.bincount(place, minlength=buckets)
                 cuts = np.searchsorted(row, np.arange(len(values) + 1))
-                own = [(np.diff(place[i:j], prepend=0).astype("<u4").tobytes(), n[i:j].astype("<u4").tobytes()) for i, j in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], pa.binary()) for k in (0, 1)], schema=_PACKED)
+                own = [_packed(place[i:j], n[i:j]) for i, j, c in zip(cuts, cuts[1:], chosen) if c]
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(own)), *(pa.array([x[k] for x in own], pa.binary()) for k in (0, 1))], schema=_PACKED)
+        yield pa.RecordBatch.from_arrays([pa.array([True]), *(pa.array([x], pa.binary()) for x in _packed(np.flatnonzero(total), total[total > 0]))], schema=_PACKED)
 
     return run
 
 
+def _frequencies(rows: DataFrame, buckets: int) -> np.ndarray:
+    """The sum of the tasks' rows; one row comes to the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for steps, n in zip(*(c.to_pylist() for c in batch.columns)):
+                np.add.at(total, np.cumsum(np.frombuffer(steps, "<u4").astype(np.int64)), np.frombuffer(n, "<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+    summed = rows.where("task").select("place", "n").coalesce(1).mapInArrow(add, "n binary").toArrow()["n"].to_pylist()
+    return sum((np.frombuffer(n, np.int64) for n in summed), np.zeros(buckets, np.int64))
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[Sparse]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -220,15 +239,15 @@ def _product(sample: DataFrame, idf: np.ndarray, x: np.ndarray, square: bool) ->
 def fit(texts: DataFrame, text_col: str, dim: int = 128, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = 42, rounds: int = 4) -> Embedder:
     """Frequencies over all texts; factors from all, or from a seeded sample of about ``sample`` if there are more."""
     spark = texts.sparkSession
-    df, n = document_frequency(texts, text_col, buckets)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    n = texts.count()
     chosen = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    if n > sample:
-        chosen = chosen.where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 32)) < (sample << 32) // n)
+    chosen = chosen.withColumn("chosen", F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 32)) < (sample << 32) // n if n > sample else F.lit(True))
     path = f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
     try:
-        chosen.mapInArrow(_pack(buckets), "place binary, n binary").write.option("compression", "zstd").parquet(path)
-        held = spark.read.schema("place binary, n binary").parquet(path)
+        chosen.mapInArrow(_pack(buckets), "task boolean, place binary, n binary").write.option("compression", "zstd").parquet(path)
+        rows = spark.read.schema("task boolean, place binary, n binary").parquet(path)
+        idf = np.log((1 + n) / (1 + _frequencies(rows, buckets))) + 1
+        held = rows.where("not task").select("place", "n")
         dim = max(1, min(dim, held.count(), buckets))
         q = np.random.default_rng(seed).standard_normal((buckets, dim + 10))
         for _ in range(rounds):
