@@ -26,7 +26,7 @@ from ..session import remove, shared_dir, without_shuffles
 BUCKETS = 1 << 14
 SAMPLE = 200_000
 #: Texts that are worked on at once, tasks over the sample, buckets in a row of a matrix on its way.
-ROWS, TASKS, PART = 256, 16, 64
+ROWS, TASKS, PART = 256, 8, 64
 
 
 def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
