@@ -182,7 +182,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, partiti
         code = encoder(tokenizer)
         end = np.array([end_id], "<u4")
         part, out = TaskContext.get().partitionId(), None
-        for rows in slices(batches, 1024):
+        for rows in slices(batches, 2048):
             if out is None:
                 out = Writer(f"{folder}/part-{part:06d}.tok", width(max(code.vocabulary, end_id + 1)))
             for doc, ids in zip(rows["doc_id"], code.encode_rows(rows["text"])):

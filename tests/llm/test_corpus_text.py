@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -46,6 +48,32 @@ def test_encoder_on_texts(encoder, library, pairs):
     assert encoder.encode("a<|endoftext|>").tolist()[-1] == encoder.vocabulary - 1
 
 
+def test_encoder_joins_new_words_in_arrays(library):
+    """Words of known pieces take no call of Python each."""
+    stems = ["".join(p) for p in itertools.product("abcdé", repeat=3)]
+    code, texts = tokens.Encoder(tokens.default_path()), [" ".join(f"{a}.\n{b}12" for b in stems) for a in stems]
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        found = code.encode_all(texts)
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in found] == [library(t) for t in texts]
+    assert calls["call"] < len(stems) ** 2 / 4, "fewer than a call for four of the different words"
+
+
+def test_encoder_forgets_and_remembers(encoder, library):
+    """Of more words than are remembered, long ones among them, in any order; signs, digits and spaces within words."""
+    rng = random.Random(7)
+    inner = ["", ".", ",\n", "\n\n", "\r\n", "\t", "'s", "'", "!'ll", "²", "½", "ª", "\xad", "0", "_", "—", "中", "\x1c", "\u180e", "\x7f"]
+    words = ["".join(rng.choices("abÉß", k=rng.choice([1, 3, 70]))) + rng.choice(inner) + "".join(rng.choices("xY9'", k=2)) for _ in range(600)]
+    for _ in range(40):
+        texts = [rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=30)) for _ in range(3)] + ["", " "]
+        assert [x.tolist() for x in encoder.encode_all(texts)] == [library(t) for t in texts]
+    assert len(encoder.words.texts) <= 100 and len(encoder.many.texts) <= 100
+    assert max(map(len, encoder.words.texts.to_pylist())) <= tokens.LONGEST
+
+
 def test_token_files(docs, pairs, scratch, library):
     assert got(token_files.round_trip(docs, scratch)) == brute.token_files(pairs, library)
     assert got(token_files.round_trip(docs.limit(0), Scratch(docs.sparkSession, "t"))) == []
