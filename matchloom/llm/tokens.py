@@ -198,8 +198,14 @@ class Encoder:
         sizes = pc.binary_length(pieces).to_numpy()
         ends = np.cumsum(sizes)
         letters = codecs.charmap_decode(_data(pieces), "strict", _LETTERS)[0]
-        found = [self._merge(letters[i:j]) for i, j in zip((ends - sizes).tolist(), ends.tolist())]
-        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+        ids, number = [], []
+        # A part at a time: as Python objects, ids take many times their bytes.
+        for at in range(0, len(pieces), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            found = [self._merge(letters[i:j]) for i, j in zip((ends - sizes)[part].tolist(), ends[part].tolist())]
+            ids.append(np.fromiter(chain.from_iterable(found), "<u4"))
+            number.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(ids), np.concatenate(number)
 
     def _run(self, text: str) -> bytes:
         """A text without a cut before it."""
