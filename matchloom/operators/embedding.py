@@ -1,9 +1,9 @@
 """Character n-gram embeddings: hashed TF-IDF, then a truncated SVD.
 
-Document frequencies come from Spark aggregates.  The factors are found by a
-randomized range finder on a bounded sample of texts, whose gram counts are
-written once; executors multiply them, the driver holds only matrices of buckets
-by dimensions.  The factors are shipped to the executors, which embed texts in
+Document frequencies and factors come from all texts.  Their gram counts are
+written once; the factors are found by a randomized range finder, for which
+executors multiply the counts and the driver holds only matrices of buckets by
+dimensions.  The factors are shipped to the executors, which embed texts in
 Arrow batches.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +23,8 @@ from pyspark.sql import functions as F
 from ..session import remove, shared_dir, without_shuffles
 
 BUCKETS = 1 << 14
-SAMPLE = 200_000
-#: Texts that are worked on at once, tasks over the sample, buckets in a row of a matrix on its way.
-ROWS, TASKS, PART = 256, 8, 64
+#: Texts that are worked on at once, characters hashed at once, tasks at least and filled places to one more, buckets in a row of a matrix on its way.
+ROWS, CHARS, TASKS, FILLED, PART = 256, 1 << 15, 8, 1 << 25, 64
 
 
 def grams(text: str, low: int = 2, high: int = 4) -> list[str]:
@@ -45,69 +43,108 @@ for _ in range(8):
     _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1).astype(np.uint32)
 
 
-def _hashes(words: list[str], low: int = 2, high: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """CRC-32 of all grams of words, word by word, and how many each has."""
-    data = np.frombuffer("".join(f" {w} " for w in words).encode(), np.uint8)
-    offset = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
-    chars = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    word, end = np.repeat(np.arange(len(words)), chars), np.repeat(np.cumsum(chars), chars)
-    found, whose = [], []
-    for n in range(low, high + 1):
-        i = np.flatnonzero(np.arange(len(word)) + n <= end)
-        at, until = offset[i], offset[i + n]
-        crc = np.full(len(i), 0xFFFFFFFF, np.uint32)
-        for k in range(n):
-            crc = _CRC[(crc ^ data[at + k]) & 0xFF] ^ (crc >> 8)
-        more = np.flatnonzero(at + n < until)  # characters of several bytes
-        k = n
-        while len(more):
-            crc[more] = _CRC[(crc[more] ^ data[at[more] + k]) & 0xFF] ^ (crc[more] >> 8)
-            k += 1
-            more = more[at[more] + k < until[more]]
-        found.append(crc ^ np.uint32(0xFFFFFFFF))
-        whose.append(word[i])
-    whose = np.concatenate(whose)
-    return np.concatenate(found)[np.argsort(whose, kind="stable")].astype(np.int64), np.bincount(whose, minlength=len(words))
+#: What a byte adds to the CRC-32 of a string in which no, one, two... bytes follow it.
+_ADDS = [_CRC]
+while len(_ADDS) < 4:
+    _ADDS.append(_CRC[_ADDS[-1] & 0xFF] ^ (_ADDS[-1] >> 8))
+
+
+def _places(text: str, buckets: int, low: int = 2, high: int = 4) -> np.ndarray:
+    """For each size a row: the bucket of the gram that begins at each character of words between single spaces, ``buckets`` where it leaves its word."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    narrow = len(data) == len(text)
+    offset = None if narrow else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of characters
+    first = data if narrow else data[offset[:-1]]
+    space, wide, adds = first == 32, first >= 0x80, [t[first] for t in _ADDS]
+    out = np.full((high - low + 1, len(first)), buckets, np.int64)
+    for own, n in zip(out, range(low, high + 1)):
+        size = len(first) - n + 1
+        if size <= 0:
+            break
+        crc = np.full(size, zlib.crc32(bytes(n)), np.uint32)
+        leaves, more = np.zeros(size, bool), np.zeros(size, bool)
+        for j in range(n):
+            crc ^= adds[n - 1 - j][j : j + size]
+            if 0 < j < n - 1:
+                leaves |= space[j : j + size]
+            if not narrow:
+                more |= wide[j : j + size]
+        if not narrow:  # characters of several bytes
+            i = np.flatnonzero(more & ~leaves)
+            crc[i] = _checksums(data, offset[i], offset[i + n], n)
+        place = crc & np.uint32(buckets - 1) if buckets & (buckets - 1) == 0 else crc % np.uint32(buckets)
+        own[:size] = np.where(leaves, buckets, place)
+    return out
+
+
+def _checksums(data: np.ndarray, at: np.ndarray, until: np.ndarray, least: int) -> np.ndarray:
+    """CRC-32 of each ``data[at:until]``, of ``least`` bytes or more."""
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for k in range(least):
+        crc = _CRC[(crc ^ data[at + k]) & 0xFF] ^ (crc >> 8)
+    more, k = np.flatnonzero(at + least < until), least
+    while len(more):
+        crc[more] = _CRC[(crc[more] ^ data[at[more] + k]) & 0xFF] ^ (crc[more] >> 8)
+        k += 1
+        more = more[at[more] + k < until[more]]
+    return crc ^ np.uint32(0xFFFFFFFF)
 
 
 def counts(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and count of all grams of a batch of texts."""
-    words = [Counter(text.lower().split()) for text in texts]
-    index: dict[str, int] = {}
-    ids = np.array([index.setdefault(w, len(index)) for own in words for w in own], np.int64)
-    if not len(ids):
+    own = [" ".join(["", *text.lower().split()]) for text in texts]
+    ends = np.cumsum([len(t) for t in own], dtype=np.int64)
+    whole, size = "".join(own) + " ", int(ends[-1]) if own else 0
+    many = len(texts) * buckets <= 12 * size
+    total, rows, places, ns = np.zeros(buckets + 1, np.int64), [], [], []
+    for at in range(0, size, CHARS):
+        until = min(at + CHARS, size)
+        found = _places(whole[at : until + 3], buckets)[:, : until - at]
+        i, last = (int(np.searchsorted(ends, x, "right")) for x in (at, until - 1))  # texts with characters in here
+        if not many:
+            key = (np.repeat(np.arange(i, last + 1), np.diff(np.clip(ends[i : last + 1], at, until), prepend=at)) * buckets + found)[found < buckets]
+            places.append(key)
+            continue
+        for row in range(i, last + 1):
+            begin, end = max(at, int(ends[row]) - len(own[row])), min(until, int(ends[row]))
+            total += np.bincount(found[:, begin - at : end - at].ravel(), minlength=buckets + 1)
+            if end == ends[row]:
+                place = np.flatnonzero(total[:buckets] != 0)
+                rows.append(np.full(len(place), row))
+                places.append(place)
+                ns.append(total[place])
+                total[:] = 0
+    if not places:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    places, many = _hashes(list(index))
-    places %= buckets
-    times = np.fromiter((n for own in words for n in own.values()), np.int64, len(ids))
-    sizes = many[ids]
-    at = np.arange(sizes.sum()) + np.repeat((np.cumsum(many) - many)[ids] - (np.cumsum(sizes) - sizes), sizes)
-    row = np.repeat(np.arange(len(texts)), [len(own) for own in words])
-    key = np.repeat(row * buckets, sizes) + places[at]
-    n = np.repeat(times, sizes)
-    if len(texts) * buckets <= 4 * len(key):
-        total = np.bincount(key, n, len(texts) * buckets)
-        key = np.flatnonzero(total)
-        return key // buckets, key % buckets, total[key].astype(np.int64)
-    key, place = np.unique(key, return_inverse=True)
-    return key // buckets, key % buckets, np.bincount(place, n).astype(np.int64)
-
-
-def _weigh(row: np.ndarray, place: np.ndarray, n: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(n)) * idf[place] if len(n) else np.empty(0)
-    norm = np.sqrt(np.bincount(row, w * w, minlength=rows))
-    return w / norm[row] if len(w) else w
+    if many:
+        return np.concatenate(rows), np.concatenate(places), np.concatenate(ns)
+    key, n = np.unique(np.concatenate(places), return_counts=True)
+    return key // buckets, key % buckets, n
+
+
+#: 1 + log n of small n.
+_LOG = (1 + np.log(np.maximum(np.arange(256), 1))).astype(np.float32)
+
+
+def _weigh(row: np.ndarray, place: np.ndarray, log: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of rows of length one; ``log`` is 1 + log n, rows ascend."""
+    w = log * idf.astype(np.float32, copy=False)[place]
+    if len(w):
+        cuts = np.flatnonzero(np.diff(row, prepend=-1))
+        w /= np.repeat(np.sqrt(np.add.reduceat(w * w, cuts)), np.diff(cuts, append=len(w)))
+    return w
 
 
 class Sparse:
-    """Rows of weights, ordered by row: dense if many places are filled."""
+    """Rows of weights, ordered by row: dense if many places are filled, then in ``room`` if given."""
 
-    def __init__(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, rows: int, buckets: int):
+    def __init__(self, row: np.ndarray, place: np.ndarray, w: np.ndarray, rows: int, buckets: int, room: np.ndarray | None = None):
         self.row, self.place, self.w, self.rows, self.buckets = row, place, w, rows, buckets
         self.dense = None
         if 32 * len(row) > rows * buckets:
-            self.dense = np.zeros((rows, buckets), np.float32)
-            self.dense[row, place] = w
+            self.dense = np.empty((rows, buckets), np.float32) if room is None else room[:rows]
+            self.dense.fill(0)
+            self.dense.ravel()[row * buckets + place] = w
 
     def _sums(self, to: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
         """Rows of ``values`` summed by ``to``, which ascends."""
@@ -124,7 +161,7 @@ class Sparse:
 
     def back(self, y: np.ndarray) -> np.ndarray:
         if self.dense is not None:
-            return self.dense.T @ y
+            return (y.T @ self.dense).T
         by = np.argsort(self.place, kind="stable")
         return self._sums(self.place[by], y[self.row[by]] * self.w[by, None], self.buckets)
 
@@ -141,7 +178,7 @@ class Embedder:
         for at in range(0, len(texts), ROWS):
             part = texts[at : at + ROWS]
             row, place, n = counts(part, buckets)
-            out[at : at + ROWS] = Sparse(row, place, _weigh(row, place, n, len(part), self.idf), len(part), buckets).apply(self.factors)
+            out[at : at + ROWS] = Sparse(row, place, _weigh(row, place, (1 + np.log(n)).astype(np.float32), self.idf), len(part), buckets).apply(self.factors)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
@@ -155,16 +192,23 @@ class Embedder:
         return Embedder(np.array(next(r["v"] for r in rows if r["kind"] == "idf")), np.array([r["v"] for r in rows if r["kind"] == "factor"]).T)
 
 
-_PACKED = pa.schema([("task", pa.bool_()), ("place", pa.binary()), ("n", pa.binary())])
+_PACKED = pa.schema([("task", pa.bool_()), ("place", pa.binary()), ("n", pa.binary()), ("large", pa.binary()), ("total", pa.binary())])
+PACKED = "task boolean, place binary, n binary, large binary, total binary"
 
 
-def _packed(place: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Buckets, as steps from one to the next, and their counts."""
-    return np.diff(place, prepend=0).astype("<u4").tobytes(), n.astype("<u4").tobytes()
+def _steps(buckets: int) -> str:
+    """The type of a step from one bucket to the next."""
+    return "<u2" if buckets <= 1 << 16 else "<u4"
 
 
 def _pack(buckets: int):
-    """A row for each text of the sample (``t, chosen``), and for each task how many of all its texts have a bucket."""
+    """A row for each text to fit on (``t, chosen``): steps between its buckets, counts in a byte, those of 255 or more apart;
+    and a row for each task: how many of all its texts have a bucket."""
+    kind = _steps(buckets)
+
+    def cut(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        width, data = values.itemsize, values.tobytes()
+        return [data[i * width : j * width] for i, j in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -174,81 +218,110 @@ def _pack(buckets: int):
                 row, place, n = counts(values, buckets)
                 total += np.bincount(place, minlength=buckets)
                 cuts = np.searchsorted(row, np.arange(len(values) + 1))
-                own = [_packed(place[i:j], n[i:j]) for i, j, c in zip(cuts, cuts[1:], chosen) if c]
-                yield pa.RecordBatch.from_arrays([pa.array([False] * len(own)), *(pa.array([x[k] for x in own], pa.binary()) for k in (0, 1))], schema=_PACKED)
-        yield pa.RecordBatch.from_arrays([pa.array([True]), *(pa.array([x], pa.binary()) for x in _packed(np.flatnonzero(total), total[total > 0]))], schema=_PACKED)
+                steps = np.diff(place, prepend=0)
+                begins = cuts[:-1][cuts[:-1] < cuts[1:]]
+                steps[begins] = place[begins]
+                large = n >= 255
+                columns = cut(steps.astype(kind), cuts), cut(np.minimum(n, 255).astype("u1"), cuts), cut(n[large].astype("<u8"), np.append(0, np.cumsum(large))[cuts])
+                columns = [pa.array([x for x, c in zip(column, chosen) if c], pa.binary()) for column in columns]
+                held = len(columns[0])
+                yield pa.RecordBatch.from_arrays([pa.array([False] * held), *columns, pa.nulls(held, pa.binary())], schema=_PACKED)
+        yield pa.RecordBatch.from_arrays([pa.array([True]), *[pa.nulls(1, pa.binary())] * 3, pa.array([total.tobytes()], pa.binary())], schema=_PACKED)
 
     return run
 
 
-def _frequencies(rows: DataFrame, buckets: int) -> np.ndarray:
-    """The sum of the tasks' rows; one row comes to the driver."""
+def _unpacked(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[Sparse]:
+    """Each is good until the next one comes."""
+    buckets = len(idf)
+    room = np.empty((ROWS, buckets), np.float32)
+    kind, idf = _steps(buckets), idf.astype(np.float32)
+    width = np.dtype(kind).itemsize
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            steps, n, large = (batch.column(k).slice(at, ROWS).to_pylist() for k in range(3))
+            size = np.fromiter((len(x) // width for x in steps), np.int64, len(steps))
+            row, place = np.repeat(np.arange(len(size)), size), np.cumsum(np.frombuffer(b"".join(steps), kind), dtype=np.int64)
+            begins = (np.cumsum(size) - size)[size > 0]
+            place -= np.repeat(np.append(0, place)[begins], size[size > 0])
+            n = np.frombuffer(b"".join(n), np.uint8)
+            log = _LOG[n]
+            log[n == 255] = 1 + np.log(np.frombuffer(b"".join(large), "<u8"))
+            yield Sparse(row, place, _weigh(row, place, log, idf), len(size), buckets, room)
+
+
+_PARTS = pa.schema([("part", pa.int32()), ("v", pa.binary())])
+
+
+def _parts(total: np.ndarray) -> pa.RecordBatch:
+    cuts = range(0, len(total), PART)
+    return pa.RecordBatch.from_arrays([pa.array(cuts, pa.int32()), pa.array([total[at : at + PART].tobytes() for at in cuts], pa.binary())], schema=_PARTS)
+
+
+def _summed(rows: DataFrame, run, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that ``run`` makes of each task's rows; they meet by parts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _parts(run(batches))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for steps, n in zip(*(c.to_pylist() for c in batch.columns)):
-                np.add.at(total, np.cumsum(np.frombuffer(steps, "<u4").astype(np.int64)), np.frombuffer(n, "<u4"))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+            for at, v in zip(*(c.to_pylist() for c in batch.columns)):
+                total[at] = total.get(at, 0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], schema=_PARTS)
 
-    summed = rows.where("task").select("place", "n").coalesce(1).mapInArrow(add, "n binary").toArrow()["n"].to_pylist()
-    return sum((np.frombuffer(n, np.int64) for n in summed), np.zeros(buckets, np.int64))
+    with without_shuffles(rows.sparkSession):
+        got = rows.mapInArrow(each, "part int, v binary").repartition(TASKS, "part").mapInArrow(add, "part int, v binary").toArrow()
+    out = np.zeros(shape)
+    for at, v in zip(got["part"].to_pylist(), got["v"].to_pylist()):
+        out[at : at + PART] = np.frombuffer(v).reshape(-1, shape[1])
+    return out
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[Sparse]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            steps, n = ([np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(k).slice(at, ROWS).to_pylist()] for k in (0, 1))
-            row, place, n = np.repeat(np.arange(len(n)), [len(x) for x in n]), np.concatenate([np.cumsum(x) for x in steps]), np.concatenate(n)
-            yield Sparse(row, place, _weigh(row, place, n, len(steps), idf), len(steps), len(idf))
+def _frequencies(rows: DataFrame, buckets: int) -> np.ndarray:
+    """How many texts have a bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        return sum((np.frombuffer(x, np.int64) for batch in batches for x in batch.column(0).to_pylist()), np.zeros(buckets))[:, None]
 
-def _product(sample: DataFrame, idf: np.ndarray, x: np.ndarray, square: bool) -> np.ndarray:
-    """With A the sample's weights, A' A x, or x' A' A x (``square``); tasks add up their rows, the sums of tasks meet by parts."""
-    shared = sample.sparkSession.sparkContext.broadcast((idf, x.astype(np.float32)))
-    shape = pa.schema([("part", pa.int32()), ("v", pa.binary())])
+    return _summed(rows.where("task").select("total"), run, (buckets, 1))[:, 0]
 
-    def rows(total: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], schema=shape)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _product(held: DataFrame, idf: np.ndarray, x: np.ndarray, square: bool) -> np.ndarray:
+    """With A the weights of the texts, A' A x, or x' A' A x (``square``)."""
+    shared = held.sparkSession.sparkContext.broadcast((idf, x.astype(np.float32)))
+    shape = (x.shape[1] if square else len(x), x.shape[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         idf, x = shared.value
-        total = np.zeros((x.shape[1] if square else len(x), x.shape[1]))
+        total = np.zeros(shape[::-1]).T  # in the order in which products come
         for own in _unpacked(batches, idf):
             y = own.apply(x)
             total += y.T.astype(float) @ y if square else own.back(y)
-        yield rows({at: total[at : at + PART] for at in range(0, len(total), PART)})
+        return total
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, v in zip(*(c.to_pylist() for c in batch.columns)):
-                total[at] = total.get(at, 0) + np.frombuffer(v)
-        yield rows(total)
-
-    summed = sample.coalesce(TASKS).mapInArrow(run, "part int, v binary").repartition(TASKS, "part").mapInArrow(add, "part int, v binary")
-    with without_shuffles(sample.sparkSession):
-        got = summed.toArrow()
+    out = _summed(held, run, shape)
     shared.destroy()
-    out = np.zeros((x.shape[1] if square else len(x), x.shape[1]))
-    for at, v in zip(got["part"].to_pylist(), got["v"].to_pylist()):
-        out[at : at + PART] = np.frombuffer(v).reshape(-1, x.shape[1])
     return out
 
 
-def fit(texts: DataFrame, text_col: str, dim: int = 128, buckets: int = BUCKETS, sample: int = SAMPLE, seed: int = 42, rounds: int = 4) -> Embedder:
-    """Frequencies over all texts; factors from all, or from a seeded sample of about ``sample`` if there are more."""
+def fit(texts: DataFrame, text_col: str, dim: int = 128, buckets: int = BUCKETS, sample: int | None = None, seed: int = 42, rounds: int = 4) -> Embedder:
+    """Frequencies and factors over all texts; a caller that gives ``sample`` has the factors of a seeded sample of about as many."""
     spark = texts.sparkSession
     n = texts.count()
     chosen = texts.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    chosen = chosen.withColumn("chosen", F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 32)) < (sample << 32) // n if n > sample else F.lit(True))
+    few = sample is not None and n > sample
+    chosen = chosen.withColumn("chosen", F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 32)) < (sample << 32) // n if few else F.lit(True))
     path = f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
     try:
-        chosen.mapInArrow(_pack(buckets), "task boolean, place binary, n binary").write.option("compression", "zstd").parquet(path)
-        rows = spark.read.schema("task boolean, place binary, n binary").parquet(path)
-        idf = np.log((1 + n) / (1 + _frequencies(rows, buckets))) + 1
-        held = rows.where("not task").select("place", "n")
-        dim = max(1, min(dim, held.count(), buckets))
+        chosen.mapInArrow(_pack(buckets), PACKED).write.option("compression", "zstd").parquet(path)
+        rows = spark.read.schema(PACKED).parquet(path)
+        frequencies = _frequencies(rows, buckets)
+        idf = np.log((1 + n) / (1 + frequencies)) + 1
+        dim = max(1, min(dim, rows.where("not task").count(), buckets))
+        # A task's matrix is as large however few rows it has.
+        held = rows.where("not task").select("place", "n", "large").coalesce(max(TASKS, int(frequencies.sum()) // FILLED))
         q = np.random.default_rng(seed).standard_normal((buckets, dim + 10))
         for _ in range(rounds):
             q = np.linalg.qr(_product(held, idf, q, False))[0]
